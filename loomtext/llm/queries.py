@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_output
+from . import decontamination, minhash, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,16 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.run(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components_of(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_output": op1_token_output}
+    return {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_minhash": op3_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
