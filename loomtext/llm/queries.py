@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, minhash, quality_rules, token_output
+from . import decontamination, line_dedup, minhash, quality_rules, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +32,17 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_of(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.marked(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_deleted", F.sha2(F.coalesce("line_dedup.kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_minhash": op3_minhash, "op6_quality_rules": op6_quality_rules}
+    return {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op6_quality_rules": op6_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
