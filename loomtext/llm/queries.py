@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, minhash, quality_rules, token_output
+from . import decontamination, line_dedup, minhash, pieces, quality_rules, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op6_quality_rules": op6_quality_rules}
+    return {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op6_quality_rules": op6_quality_rules, "op10_pieces": op10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
