@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, decontamination, line_dedup, minhash, pieces, quality_rules, token_output
+from . import backoff, decontamination, line_dedup, minhash, pieces, quality_rules, secrets, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,20 @@ def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scores(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.run(table(spark, sf_dir, "pages"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.run(table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_backoff": op7_backoff, "op10_pieces": op10_pieces}
+    return {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_backoff": op7_backoff, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
