@@ -14,6 +14,7 @@ the text; null doc_ids come first; an empty table gives an empty manifest. Extra
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import column, forget, ragged, scratch, small_batches, split_words, tables
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 3_000_000
 #: Rows of text that one output file is to hold, in bytes.
 FILE_BYTES = 32 << 20
 
@@ -51,25 +52,47 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place, self.at, self.n = {}, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+        """Nothing is known. A word is found by a 128-bit hash: its low half in ``low`` (ascending), where ``slot`` is
+        its number; ``high``, ``at`` and ``n`` go by that number, and the ids lie at flat[at : at + n]."""
+        self.low, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.high, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat, n = [], []
         for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.int32, int(n.sum()))
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.place) + len(part) > len(self.at):
-                self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n))
-            self.flat[self.used : self.used + len(flat)] = flat
-            first = len(self.place)
-            self.at[first : first + len(n)] = self.used + np.cumsum(n) - n
-            self.n[first : first + len(n)] = n
-            self.place.update(zip(part, range(first, first + len(part)), strict=True))
-            self.used += len(flat)
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[k : k + 20_000]], add_special_tokens=False)]
+            n.append(np.fromiter(map(len, got), np.int32, len(got)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(got), np.int32, int(n[-1].sum())))
+        return (np.concatenate(flat), np.concatenate(n)) if n else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of words, -1 for unknown ones."""
+        if not len(self.low):
+            return np.full(len(low), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.low, low), len(self.low) - 1)
+        slot = self.slot[at].astype(np.int64)
+        return np.where((self.low[at] == low) & (self.high[slot] == high), slot, -1)
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words, which are learned if they are new."""
+        from xxhash import xxh3_128_digest
+
+        both = np.frombuffer(b"".join(map(xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        high, low = both[:, 0], both[:, 1]
+        if len(self.slot) + len(words) > CACHE_WORDS:
+            self._clear()
+        place = self._find(low, high)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            ids, n = self._ids([words[k] for k in new.tolist()])
+            first = len(self.n)
+            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n, dtype=np.int64) - n])
+            self.flat, self.n, self.high = np.concatenate([self.flat, ids]), np.concatenate([self.n, n]), np.concatenate([self.high, high[new]])
+            place[new] = first + np.arange(len(new))
+            order = new[np.argsort(low[new], kind="stable")]
+            where = np.searchsorted(self.low, low[order])
+            self.low, self.slot = np.insert(self.low, where, low[order]), np.insert(self.slot, where, place[order].astype(np.int32))
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of each text's ids."""
@@ -77,17 +100,24 @@ class Encoder:
             got = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.fromiter((i for x in got for i in x), np.int32), np.fromiter(map(len, got), np.int64, len(got))
         codes, n_words, words = split_words(texts)
-        words = words.to_pylist()
-        if len(self.place) + len(words) > CACHE_WORDS:
-            self._clear()
-        self._learn([w for w in words if w not in self.place])
-        place = np.fromiter((self.place[w] for w in words), np.int64, len(words))[codes] if words else np.zeros(0, np.int64)
-        n = self.n[place]
+        place = self._places(words.to_pylist())[codes]
+        n = self.n[place].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(n)])
         edges = np.concatenate([[0], np.cumsum(n_words)])
         return self.flat[ragged(self.at[place], n)], np.diff(before[edges])
 
 
+_known: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, whole: bool) -> Encoder:
+    """A worker keeps its encoder, and the words that it knows, from task to task."""
+    if (path, whole) not in _known:
+        _known.clear()
+        _known[path, whole] = Encoder(path, whole)
+    return _known[path, whole]
+
+
 def write(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, row_group_tokens: int = 1 << 20, whole: bool = False) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into token files under ``out`` and return the manifest."""
     spark = docs.sparkSession
@@ -98,7 +128,7 @@ def write(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, row_group
         context = TaskContext.get()
         part = context.partitionId()
         fs, folder = _open(out)
-        encoder, sink, stream, held, n_held = Encoder(vocabulary, whole), None, None, [], 0
+        encode, sink, stream, held, n_held = encoder(vocabulary, whole).encode, None, None, [], 0
         first = last = None
         n_docs = n_tokens = 0
         name = f"{folder}/part-{part:06d}-{context.taskAttemptId()}.parquet"
@@ -110,7 +140,7 @@ def write(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, row_group
             held, n_held = [], 0
 
         for t in tables(batches):
-            ids, n = encoder.encode(column(t, "text"))
+            ids, n = encode(column(t, "text"))
             edges = np.concatenate([[0], np.cumsum(n + 1)])
             full = np.full(edges[-1], end_id, np.int32)
             full[ragged(edges[:-1], n)] = ids
