@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, decontamination, line_dedup, minhash, pieces, quality_rules, secrets, token_output, warc
+from . import backoff, decontamination, line_dedup, minhash, pieces, quality_rules, secrets, suffix_dedup, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_deleted", F.sha2(F.coalesce("line_dedup.kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.run(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +62,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_backoff": op7_backoff, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}
+    return {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_quality_rules": op6_quality_rules, "op7_backoff": op7_backoff, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
