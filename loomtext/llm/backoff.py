@@ -8,7 +8,7 @@ text is not expected because it stands in the corpus itself. For a word and the
 down to c(w) / N, and 1 / N for a word that no other document has. A document's score is the sum of ln S.
 
 The tables travel in blocks. ``blocks`` writes the texts as blocks of bounded size. Each block explodes into its distinct
-n-grams of each order with their counts, as ascending 64-bit hashes, cut by hash range into buckets (one row per block and
+n-grams of each order with their counts, as ascending hashes, cut by hash range into buckets (one row per block and
 bucket, hashes as compressed deltas: a map-side combine). A bucket's task adds up the counts of each n-gram over all
 blocks, which is its part of the count table, and joins them back to the n-grams of every block; the block's task puts its
 buckets together, looks up each position and sums by document. A frequent n-gram is one entry per block, so no key is hot.
@@ -25,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ from pyspark.sql import functions as F
 from .common import column, forget, hash_words, keep, mixed, odd_numbers, small_batches, split_words, tables
 
 ORDER, ALPHA = 3, 0.4
+#: Bits of an n-gram's hash: among 10**9 n-grams less than one pair is expected to meet. Each bit is an eighth of a byte
+#: per n-gram in the shuffle.
+HASH_BITS = 60
 #: Text of a block, and n-grams that a bucket is to hold.
 BLOCK_BYTES = 8 << 20
 BUCKET_WORDS = 2 << 20
@@ -83,7 +88,7 @@ class Grams:
         total = np.zeros(len(w), np.uint64)
         for k in range(order):
             total[k:] += w[: len(w) - k] * times[k]
-            self.at.append(np.where(self.index >= k, mixed(total + np.uint64(k + 1)) | np.uint64(1), np.uint64(0)))
+            self.at.append(np.where(self.index >= k, np.maximum(mixed(total + np.uint64(k + 1)) >> np.uint64(64 - HASH_BITS), np.uint64(1)), np.uint64(0)))
 
     def distinct(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ascending distinct hashes, the entry of each word (or -1), counts."""
@@ -94,9 +99,20 @@ class Grams:
         return names, entry, count
 
 
+def _texts(file: str, block: int) -> bytes:
+    """A block's texts, read from the shared folder instead of sent through another shuffle."""
+    fs, path = pafs.FileSystem.from_uri(file)
+    with fs.open_input_file(path) as f:
+        source = pq.ParquetFile(f)
+        for b in source.iter_batches(batch_size=1, columns=["block", "texts"]):
+            if b.column(0)[0].as_py() == block:
+                return b.column(1)[0].as_py()
+    raise LookupError(f"block {block} is not in {file}")
+
+
 def _buckets(names: np.ndarray, n: int) -> np.ndarray:
     """Where each of n hash ranges begins in ascending hashes."""
-    edges = np.array([(k << 64) // n for k in range(n)], np.uint64)
+    edges = np.array([(k << HASH_BITS) // n for k in range(n)], np.uint64)
     return np.append(np.searchsorted(names, edges), len(names))
 
 
@@ -107,8 +123,8 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
     total = int(kept.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(shuffle, total * order // BUCKET_WORDS)
-    schema = "block long, bucket int, grams array<binary>, texts binary"
-    kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("grams", pa.list_(pa.binary())), ("texts", pa.binary())])
+    schema = "block long, bucket int, grams array<binary>, file string"
+    kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("grams", pa.list_(pa.binary())), ("file", pa.string())])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,7 +137,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
                         rows[j] += [_pack(np.diff(names[a:z], prepend=np.uint64(0))), _pack(count[a:z])]
                 for j in range(0, n_buckets, 64):
                     some = rows[j : j + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(range(j, j + len(some)), pa.int32()), pa.array(some, pa.list_(pa.binary())), pa.nulls(len(some), pa.binary())], schema=kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(range(j, j + len(some)), pa.int32()), pa.array(some, pa.list_(pa.binary())), pa.nulls(len(some), pa.string())], schema=kinds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by bucket."""
@@ -145,7 +161,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
                 z = np.cumsum(n)
                 for own, a, e in zip(answers, (z - n).tolist(), z.tolist(), strict=True):
                     own.append(_pack(out[a:e]))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(answers, pa.list_(pa.binary())), pa.nulls(len(held), pa.binary())], schema=kinds)
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(answers, pa.list_(pa.binary())), pa.nulls(len(held), pa.string())], schema=kinds)
 
         for b in batches:
             for block, j, grams in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("grams").to_pylist(), strict=True):
@@ -158,11 +174,11 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
             yield add_up()
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block: its texts first, its buckets in ascending order."""
-        texts, grams = None, []
+        """Rows come by block: the file that has its texts first, its buckets in ascending order."""
+        at, grams = None, []
 
         def score() -> Iterator[pa.RecordBatch]:
-            g = Grams(texts, order)
+            g = Grams(_texts(*at), order)
             counts = []
             for k in range(order):
                 names, entry, _ = g.distinct(k)
@@ -192,19 +208,19 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
             yield from rows.to_batches(max_chunksize=4096)
 
         for b in batches:
-            for own, g in zip(b.column("texts").to_pylist(), b.column("grams").to_pylist(), strict=True):
-                if own is not None:
-                    if texts is not None:
+            for block, file, g in zip(b.column("block").to_pylist(), b.column("file").to_pylist(), b.column("grams").to_pylist(), strict=True):
+                if file is not None:
+                    if at is not None:
                         yield from score()
-                    texts, grams = own, []
+                    at, grams = (file, block), []
                 else:
                     grams.append(g)
-        if texts is not None:
+        if at is not None:
             yield from score()
 
     exploded = kept.mapInArrow(explode, schema).repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "block")
     counted = exploded.mapInArrow(count, schema)
-    whole = kept.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("array<binary>").alias("grams"), "texts")
+    whole = kept.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("array<binary>").alias("grams"), F.input_file_name().alias("file"))
     met = whole.unionAll(counted).repartition(max(shuffle, 1), "block").sortWithinPartitions("block", "bucket")
     out = keep(met.mapInArrow(sum_up, "doc_id long, n_words long, n_backed_off long, score double"), "lm-scores")
     forget(spark, kept.kept_at)
