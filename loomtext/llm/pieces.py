@@ -34,6 +34,8 @@ from .common import column, ragged, small_batches, tables
 
 #: Units whose ids a worker remembers; beyond it the memory starts anew.
 CACHE_UNITS = 400_000
+#: Characters that are indexed at once; about five edges start at each.
+BATCH_CHARS = 200_000
 SPACE = "▁"
 FAR = 1 << 40
 
@@ -227,6 +229,7 @@ class Encoder:
         end = start + size
         column_ = end - first[unit[start]]
         turn = np.argsort(column_, kind="stable")
+        del size, unit
         start, piece, end, column_ = start[turn], piece[turn], end[turn], column_[turn]
         steps = np.searchsorted(column_, np.arange(1, (column_[-1] if len(column_) else 0) + 2))
         last = np.full(len(text) + 1, -1, np.int64)  # of the piece that ends before a position
@@ -297,6 +300,17 @@ class Encoder:
                 at += len(self.model.pieces[i])
         return out
 
+    def _learn(self, units: list[str]) -> None:
+        if len(units[0]) > BATCH_CHARS:  # stands alone; its graph would not fit
+            own = self._by_hand(units[0].replace(" ", SPACE)) if self.model.kind == "bpe" else self.model.library.encode(units[0])
+            ids, n = np.array(own, np.int64), np.array([len(own)])
+        else:
+            ids, n = self._segment(units)
+        first = len(self.place)
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
+        self.n, self.flat = np.concatenate([self.n, n]), np.concatenate([self.flat, ids])
+        self.place.update(zip(units, range(first, first + len(units)), strict=True))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and their number for each."""
         if len(self.place) > CACHE_UNITS:
@@ -315,12 +329,14 @@ class Encoder:
                     new[u] = None
             units += own
         if new:
-            fresh = list(new)
-            ids, n = self._segment(fresh)
-            first = len(self.place)
-            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-            self.n, self.flat = np.concatenate([self.n, n]), np.concatenate([self.flat, ids])
-            self.place.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            part, size = [], 0
+            for u in new:
+                if part and size + len(u) > BATCH_CHARS:
+                    self._learn(part)
+                    part, size = [], 0
+                part.append(u)
+                size += len(u) + 1
+            self._learn(part)
         place = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
         n = self.n[place]
         before = np.concatenate([[0], np.cumsum(n)])
@@ -350,7 +366,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", ids: bool = True) -> D
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, kind)
-        for t in tables(batches, limit=4 << 20):
+        for t in tables(batches, limit=2 << 20):
             texts = column(t, "text").to_pylist()
             flat, n = e.encode(texts)
             z = np.cumsum(n)
