@@ -19,7 +19,6 @@ rows; empty tables give empty results or zero counts. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,15 +251,14 @@ def contamination(index: DataFrame, items: DataFrame, window: int = 10) -> DataF
     if not more:
         return total(rows)
 
-    def merge(key, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # as many rows as blocks that hit the document
-        covered, items, first = None, set(), None
-        for r in itertools.chain.from_iterable(b.to_pylist() for b in rows):
-            first = first or r
+    def merge(group: pa.Table) -> pa.Table:  # as many rows as blocks that hit the document
+        covered, items, found = None, set(), group.to_pylist()
+        for r in found:
             items.update(r["items"])
             if r["covered"]:
                 own = np.frombuffer(r["covered"], np.uint8)
                 covered = own if covered is None else covered | own
-        yield pa.RecordBatch.from_pylist([first | {"covered": covered.tobytes() if covered is not None else b"", "items": sorted(items)}], kinds)
+        return pa.Table.from_pylist([found[0] | {"covered": covered.tobytes() if covered is not None else b"", "items": sorted(items)}], kinds)
 
     for m in more:
         rows = rows.unionAll(m)
