@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lr_cosine(step: Column, total: int, warmup: float = 0.01, least: float = 0.1) -> Column:
     """N1. Linear warm-up, then a cosine down to ``least``."""
     warm = max(1, int(total * warmup))
@@ -24,9 +29,8 @@ def lr_wsd(step: Column, total: int, warmup: float = 0.02, stable: float = 0.8,
 
 def log_softmax(logits: Column) -> Column:
     """Log-probabilities of an array of logits."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(logits, lambda x: x - top - F.ln(total))
+    total = lambda l, top: F.ln(F.aggregate(l, F.lit(0.0), lambda a, x: a + F.exp(x - top)))  # noqa: E731, E741
+    return let(logits, lambda l: let(F.array_max(l), lambda top: let(total(l, top), lambda z: F.transform(l, lambda x: x - top - z))))  # noqa: E741
 
 
 def masked_log_prob(logits: Column, ids: Column, mask: Column) -> Column:
@@ -42,8 +46,8 @@ def dpo_loss(chosen: Column, rejected: Column, ref_chosen: Column, ref_rejected:
 
 def repetition_penalty(logits: Column, history: Column, penalty: float, window: int = 50) -> Column:
     """N5. Logits of ids among the last ``window``: negative ones times, others over the penalty."""
-    recent = F.slice(history, F.greatest(F.lit(1), F.size(history) - window + 1), window)
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(recent, i), F.when(x < 0, x * penalty).otherwise(x / penalty)).otherwise(x))
+    last = F.slice(history, F.greatest(F.lit(1), F.size(history) - window + 1), window)
+    return let(last, lambda recent: F.transform(logits, lambda x, i: F.when(F.array_contains(recent, i), F.when(x < 0, x * penalty).otherwise(x / penalty)).otherwise(x)))
 
 
 def temperature(logits: Column, t: float) -> Column:
@@ -53,21 +57,21 @@ def temperature(logits: Column, t: float) -> Column:
 
 def top_k(logits: Column, k: int) -> Column:
     """N5. Null below the k-th largest logit; equals of it stay."""
-    least = F.get(F.array_sort(logits), F.greatest(F.lit(0), F.size(logits) - k))
-    return F.transform(logits, lambda x: F.when(x >= least, x))
+    least = lambda l: F.get(F.array_sort(l), F.greatest(F.lit(0), F.size(l) - k))  # noqa: E731, E741
+    return let(logits, lambda l: let(least(l), lambda low: F.transform(l, lambda x: F.when(x >= low, x))))  # noqa: E741
 
 
 def top_p(logits: Column, p: float) -> Column:
     """N5. Null outside of the most likely ids whose mass reaches p; the one that crosses it stays. Equal logits are
     ranked by id."""
-    logs = F.transform(log_softmax(F.transform(logits, lambda x: F.coalesce(x, F.lit(-1e30)))), lambda x, i: F.struct((-x).alias("l"), i.alias("i")))
+    logs = lambda l: F.transform(log_softmax(F.transform(l, lambda x: F.coalesce(x, F.lit(-1e30)))), lambda x, i: F.struct((-x).alias("l"), i.alias("i")))  # noqa: E731, E741
 
     def keep(acc: Column, x: Column) -> Column:
         go = acc["mass"] <= p
         return F.struct((acc["mass"] + F.exp(-x["l"])).alias("mass"), F.when(go, F.concat(acc["ids"], F.array(x["i"]))).otherwise(acc["ids"]).alias("ids"))
 
-    kept = F.aggregate(F.array_sort(logs), F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<int>").alias("ids")), keep, lambda a: a["ids"])
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(kept, i), x))
+    kept = lambda l: F.aggregate(F.array_sort(logs(l)), F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<int>").alias("ids")), keep, lambda a: a["ids"])  # noqa: E731, E741
+    return let(logits, lambda l: let(kept(l), lambda ids: F.transform(l, lambda x, i: F.when(F.array_contains(ids, i), x))))  # noqa: E741
 
 
 def draw(logits: Column, u: Column) -> Column:
@@ -80,5 +84,5 @@ def draw(logits: Column, u: Column) -> Column:
 
 def z_loss(logits: Column, weight: float) -> Column:
     """N6. weight * mean over steps of the squared log-sum-exp."""
-    lse = F.transform(logits, lambda s: F.array_max(s) + F.ln(F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(s)))))
+    lse = F.transform(logits, lambda s: let(F.array_max(s), lambda top: top + F.ln(F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x - top)))))
     return weight * F.aggregate(lse, F.lit(0.0), lambda a, x: a + x * x) / F.size(logits)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import regexes as R
 from loomtext.functions.text import uniform
+from loomtext.operators.mix import running
 
 
 def sentences(text: Column) -> Column:
@@ -32,12 +33,10 @@ def pack(text: Column, max_len: int = 400) -> Column:
 def pack_stream(lines: DataFrame, order: str, max_len: int = 400, group: str | None = None) -> DataFrame:
     """T3. Packing that goes on from line to line; a blank line flushes and is written itself. The lines between two
     blank ones are one fold; ``group`` keeps sources apart. (group, order of the first line, chunks)."""
-    from pyspark.sql import Window
-
     keys = [group] if group else []
     blank = F.btrim("text") == ""
-    over = Window.partitionBy(*keys).orderBy(order)
-    block = lines.withColumn("_block", F.sum(blank.cast("int")).over(over) * 2 + F.when(blank, 0).otherwise(1))
+    # a blank line closes the block before it, and is one itself
+    block = running(lines, blank.cast("int"), [order], keys, "_blanks").withColumn("_block", F.col("_blanks") * 2 + blank.cast("int"))
     joined = block.groupBy(*keys, "_block").agg(F.min(order).alias(order), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: s["text"]), "").alias("text"))
     return joined.select(*keys, order, F.when(F.btrim("text") == "", F.array(F.lit(""))).otherwise(pack(F.col("text"), max_len)).alias("chunks"))
 

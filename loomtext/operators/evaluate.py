@@ -20,7 +20,7 @@ def label_distribution(spark: SparkSession, labels: DataFrame, column: str = "sc
     return every.join(counts, "score", "left").crossJoin(total).select("score", map_score(F.col("score")).alias("label"), n.alias("n"), F.round(100 * n / F.greatest("total", F.lit(1)), 2).alias("percent"))
 
 
-def train_quality(rows: DataFrame, features: int = 1 << 18) -> PipelineModel:
+def train_quality(rows: DataFrame, features: int = 1 << 15) -> PipelineModel:
     """Q3. A softmax over hashed words and word pairs of (text, label)."""
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern="\\s+", toLowercase=False)
     pairs = NGram(n=2, inputCol="words", outputCol="pairs")

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import uniform
 
 
+def running(df: DataFrame, value: Column, order: list[str], keys: list[str] = (), name: str = "_before") -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over the rows before each, by ``order`` and within ``keys``. Rows are dealt
+    by range, so that no task sees all rows of a key; the sums of the ranges are a small table."""
+    spread = df.repartitionByRange(*keys, *order).withColumns({"_p": F.spark_partition_id(), "_v": value})
+    own = spread.groupBy(*keys, "_p").agg(F.sum("_v").alias("_n"))
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = own.withColumn("_ahead", F.coalesce(F.sum("_n").over(past(Window.partitionBy(*keys).orderBy("_p"))), F.lit(0)))
+    met = spread.join(parts.drop("_n"), [*keys, "_p"])
+    inside = F.coalesce(F.sum("_v").over(past(Window.partitionBy(*keys, "_p").orderBy(*order))), F.lit(0))
+    return met.withColumn(name, F.col("_ahead") + inside).select(*df.columns, name)
+
+
 def source_sizes(docs: DataFrame) -> DataFrame:
     """M1, M2, exact: lines, characters and mean characters of a line with its newline, by source."""
     return docs.groupBy("source").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.avg(F.length("text") + 1).alias("mean_chars"))
@@ -30,10 +42,10 @@ def bernoulli(docs: DataFrame, mix: DataFrame, max_chars: float, seed: int = 42,
 
 def interleave(docs: DataFrame, mix: DataFrame, buffer: int = 50_000, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """M5. ``docs`` with ``round``, ``source_no`` and ``draw``; sorting by these reads the sources in turns, in bursts in
-    proportion to their ratios, shuffled inside a burst. All rows stay. Row numbers come from range partitions."""
+    proportion to their ratios, shuffled inside a burst. All rows stay."""
     top = mix.agg(F.max("ratio").alias("top"))
     order = mix.crossJoin(top).select("source", F.greatest(F.lit(1), F.floor(buffer * F.col("ratio") / F.col("top"))).alias("burst"), F.row_number().over(Window.orderBy("source")).alias("source_no"))
-    numbered = docs.withColumn("_rn", F.row_number().over(Window.partitionBy("source").orderBy(key)) - 1)
+    numbered = running(docs, F.lit(1), [key], ["source"], "_rn")
     return numbered.join(order, "source").select(*docs.columns, F.floor(F.col("_rn") / F.col("burst")).alias("round"), "source_no", uniform(seed, F.col(key)).alias("draw"))
 
 
@@ -78,11 +90,6 @@ def category_build(parts: dict[str, DataFrame], shares: dict[str, float], total:
 
 
 def max_chars(docs: DataFrame, n: int, order: str = "doc_id") -> DataFrame:
-    """M13. The first n characters of the texts in order; the last text may be cut. Sums by range partition come first,
-    so that no task sees all rows."""
-    spread = docs.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    own = spread.groupBy("_p").agg(F.sum(F.length("text")).alias("_n"))
-    before = own.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") < n).select("_p", "_before")
-    inside = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = spread.join(before, "_p").withColumn("_at", F.col("_before") + inside).where(F.col("_at") < n)
+    """M13. The first n characters of the texts in order; the last text may be cut."""
+    at = running(docs, F.length("text"), [order], name="_at").where(F.col("_at") < n)
     return at.withColumn("text", F.substring("text", F.lit(1), F.least(F.length("text"), F.lit(n) - F.col("_at")).cast("int"))).select(*docs.columns)

@@ -143,7 +143,7 @@ def clean_prefix(spark, d):
 
 # the asterisks of the texts are taken out, since RE2 has no lookaround for single ones; unit tests cover these
 _T = "replace(text, '*', '')"
-MARKED = f"'## ' || substr({_T}, 1, 20) || '\n- **' || substr({_T}, 21, 20) || '**\n\n\n\n1. ' || substr({_T}, 41, 20)"
+MARKED = f"'## ' || substr({_T}, 1, 20) || '\n- **b' || substr({_T}, 21, 20) || '**\n\n\n\n1. ' || substr({_T}, 41, 20)"
 
 
 def _md(x: str) -> str:

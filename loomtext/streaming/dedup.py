@@ -23,7 +23,11 @@ def stream_clean_dedup(spark: SparkSession, path: str) -> DataFrame:
     from loomtext.plans.session import shared_path
 
     out = shared_path(spark, f"stream-{uuid.uuid4().hex}")
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        reader, path = reader.option("pathGlobFilter", p.getName()), str(p.getParent())  # a stream's source is a folder
+    source = reader.parquet(path)
     kept = clean_dedup(source).select("doc_id", "clean")
     query = kept.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
