@@ -36,7 +36,7 @@ def test_zh_ratio_boundary(spark):
     assert got == [None, "zh_ratio"]
 
 
-ADS = {"咨询热线：400123": True, "咨询：400123": False, "订购电话13800": True, "线：12345": True, "线12345": False, "qQ：12345": True, "QQ：1234": False, "vx:abc": True, "扫一扫": True, "点击下面链接": True, "010-123-4567": False, "010-1234-56789": True, "分店遍布": True, "优惠开启": True, "跳楼价": True, "火爆进行中": True, "电话：１２３": True}
+ADS = {"咨询热线：400123": True, "咨询：400123": False, "订购电话13800": True, "线：12345": True, "线12345": False, "qQ：12345": True, "QQ：1234": False, "vx:abc": True, "扫一扫": True, "点击下面链接": True, "010-12-34567": False, "010-1234-56789": True, "分店遍布": True, "优惠开启": True, "跳楼价": True, "火爆进行中": True, "电话：１２３": True}
 
 
 def test_ads(spark):
