@@ -129,15 +129,15 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, texts in zip(b.column("block").to_pylist(), b.column("texts").to_pylist(), strict=True):
-                g, rows = Grams(texts, order), [[] for _ in range(n_buckets)]
+                g, parts = Grams(texts, order), []
                 for k in range(order):
                     names, _, count = g.distinct(k)
-                    edges = _buckets(names, n_buckets)
-                    for j, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                        rows[j] += [_pack(np.diff(names[a:z], prepend=np.uint64(0))), _pack(count[a:z])]
-                for j in range(0, n_buckets, 64):
-                    some = rows[j : j + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(range(j, j + len(some)), pa.int32()), pa.array(some, pa.list_(pa.binary())), pa.nulls(len(some), pa.string())], schema=kinds)
+                    parts.append((names, count, _buckets(names, n_buckets)))
+                full = np.flatnonzero(sum(np.diff(edges) for _, _, edges in parts)).tolist()
+                for at in range(0, len(full), 64):
+                    some = full[at : at + 64]
+                    grams = [[x for names, count, edges in parts for x in (_pack(np.diff(names[edges[j] : edges[j + 1]], prepend=np.uint64(0))), _pack(count[edges[j] : edges[j + 1]]))] for j in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(grams, pa.list_(pa.binary())), pa.nulls(len(some), pa.string())], schema=kinds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by bucket."""
