@@ -1,0 +1,27 @@
+import pytest
+
+from loomtext.plans import config
+
+yaml = pytest.importorskip("yaml")
+
+
+def test_extends_and_attributes(tmp_path):
+    (tmp_path / "base.yaml").write_text("model:\n  d_model: 512\n  num_layers: 12\ntraining:\n  epochs: 4\n")
+    (tmp_path / "own.yaml").write_text("extends: base.yaml\nmodel:\n  d_model: 256\n")
+    c = config.load(str(tmp_path / "own.yaml"))
+    assert (c.model.d_model, c.model.num_layers, c.training.epochs) == (256, 12, 4)
+    assert not hasattr(c, "extends")
+
+
+@pytest.mark.parametrize(("section", "field", "value", "ok"), [("model", "d_model", "512", False), ("model", "num_layers", 0, False), ("model", "dropout", 1.5, False), ("model", "dropout", 1, False), ("model", "tie_weights", 1, False), ("model", "num_heads", True, True), ("lr", "lr", 0.0, False), ("data", "data_dir", "", False), ("model", "d_model", 64, True), ("other", "x", "y", True)])
+def test_check(section, field, value, ok):
+    if ok:
+        config.check({section: {field: value}})
+    else:
+        with pytest.raises(config.ConfigError, match=field):
+            config.check({section: {field: value}})
+
+
+def test_merge_and_paths():
+    assert config.merged({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}, "b": {"z": 1}}) == {"a": {"x": 1, "y": 3}, "b": {"z": 1}}
+    assert config.resolve("/r", "a/../b") == "/r/b" and config.resolve("/r", "/c") == "/c" and config.resolve("/r", "") == ""
