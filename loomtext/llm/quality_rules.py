@@ -100,7 +100,9 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def marked_words(rows: DataFrame) -> list[str]:
     """Words that stand almost only in bad documents, the most frequent first."""
-    words = rows.select("doc_id", "bad", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}]+"))).alias("word")).where("word <> ''")
+    # copies of a text count once, else the words of a text that is copied often would look like evidence
+    once = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("bad").alias("bad"))
+    words = once.select("bad", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}]+"))).alias("word")).where("word <> ''")
     counted = words.groupBy("word").agg(F.count_if("bad").alias("n_bad"), F.count("*").alias("n")).where((F.col("n_bad") >= 2 * LEAST) & (F.col("n_bad") >= WORD_PRECISION * F.col("n")))
     return [r["word"] for r in counted.orderBy(F.desc("n_bad"), "word").limit(WORDS).collect()]
 
