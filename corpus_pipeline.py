@@ -17,10 +17,7 @@ from loomtext.llm.queries import table, vocabulary
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the decision list learned from ``labels``."""
-    # written first: a filter pushed into the statistics would compute them again for each of its terms
-    verdicts = keep(quality_rules.run(docs, table(spark, sf_dir, "labels")).select("doc_id", "kept"), "verdicts")
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    return quality_rules.keep_rows(docs, *quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

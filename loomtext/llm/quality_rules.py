@@ -65,13 +65,16 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 6, 0).otherwise(let(windows(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))))
 
 
-def statistics(docs: DataFrame, marked: list[str]) -> DataFrame:
-    """(doc_id, counts, shares) of ``docs`` (doc_id, text)."""
+def statistics(docs: DataFrame, marked: list[str], carry: bool = False) -> DataFrame:
+    """(doc_id, counts, shares) of ``docs`` (doc_id, text), with the whole row as a struct ``row`` if ``carry``."""
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    also = ["row"] * carry
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", words_of(F.col("text")).alias("w"), lines.alias("l"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *row).select(*also, "doc_id", "text", words_of(F.col("text")).alias("w"), lines.alias("l"))
     letters = F.split(F.lower("text"), "[^\\p{L}]+") if marked else None
     counted = base.select(
+        *also,
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -85,7 +88,7 @@ def statistics(docs: DataFrame, marked: list[str]) -> DataFrame:
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return counted.select(
-        "doc_id", *COUNTS, share("word_chars", "n_words").alias("mean_word"), share("n_symbols", "n_words").alias("symbol_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"),
+        *also, "doc_id", *COUNTS, share("word_chars", "n_words").alias("mean_word"), share("n_symbols", "n_words").alias("symbol_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"),
         share("n_repeat_words", "n_words").alias("repeat_share"), share("n_upper", "word_chars").alias("upper_share"), share("n_distinct", "n_words").alias("distinct_share"), "n_marked",
     )
 
@@ -191,5 +194,13 @@ def judge(docs: DataFrame, rules: list[Rule], marked: list[str]) -> DataFrame:
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
 
 
+def keep_rows(docs: DataFrame, rules: list[Rule], marked: list[str]) -> DataFrame:
+    """The rows of ``docs`` that are kept, in the one pass that judges them. The partition number among the statistics
+    keeps the filter above them: below, it would compute them again for each of its terms."""
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    judged = statistics(docs, marked, carry=True).select("row", failed.alias("base_failed"), verdict(rules).alias("rule"), F.spark_partition_id().alias("guard"))
+    return judged.where(~F.col("base_failed") & (F.col("rule") == 0) & (F.col("guard") >= 0)).select("row.*")
+
+
 def run(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(docs, *learn(docs, labels))
