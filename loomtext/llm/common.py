@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -60,6 +61,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers idle between tasks, and stages that run in
+    the JVM need it then."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
 def tables(batches: Iterable[pa.RecordBatch], column: str | None = "text", limit: int = 8 << 20) -> Iterator[pa.Table]:
     """Regroup batches into tables whose ``column`` holds about ``limit`` bytes; a longer row stands alone."""
     held: list[pa.RecordBatch] = []
@@ -75,6 +84,8 @@ def tables(batches: Iterable[pa.RecordBatch], column: str | None = "text", limit
         size += n
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    trim()
 
 
 def column(t: pa.Table, name: str) -> pa.Array:

@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, ragged, small_batches, tables
+from .common import column, ragged, small_batches, tables, trim
 
 #: Units whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 500_000
 #: Characters that are indexed at once; about five edges start at each.
-BATCH_CHARS = 200_000
+BATCH_CHARS = 150_000
+#: Bits of a symbol in the keys of four.
+BITS = 16
 SPACE = "▁"
 FAR = 1 << 40
 
@@ -82,7 +84,7 @@ class Model:
             parts = self.merge(self.pieces[i], stop=2)
             if i in self.odd:
                 continue
-            if len(parts) != 2 or self.text.get(self.pieces[i]) is None:
+            if len(parts) != 2:
                 dead.append(i)
             elif max(self.rank[parts[0]], self.rank[parts[1]]) > self.rank[i]:
                 self.odd.add(i)
@@ -99,7 +101,7 @@ class Model:
                     keys.append(a * n + b)
                     ranks.append(self.rank[i])
         order = np.argsort(keys)
-        self.pair, self.pair_rank = np.append(np.array(keys, np.int64)[order], FAR * FAR // FAR), np.append(np.array(ranks, np.int64)[order], FAR)
+        self.pair, self.pair_rank = np.append(np.array(keys, np.int64)[order], FAR), np.append(np.array(ranks, np.int64)[order], FAR)
 
     def merge(self, text: str, stop: int = 1) -> list[int]:
         """The merge loop: the adjacent pair of the best score merges, the leftmost of equals; ``stop``: pieces to leave
@@ -154,43 +156,65 @@ class Model:
         return ok
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols, by prefix doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    k = 1
+def dense(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a text in order, and the text as their numbers from 1 on."""
+    names, inverse = np.unique(text, return_inverse=True)
+    return names, inverse.astype(np.int64) + 1
+
+
+def four(text: np.ndarray, bits: int) -> np.ndarray:
+    """Four symbols from each place on as one number; 0 beyond the end."""
+    padded = np.concatenate([text, np.zeros(3, np.int64)]).astype(np.uint64)
+    n = len(text)
+    return (padded[:n] << np.uint64(3 * bits)) | (padded[1 : n + 1] << np.uint64(2 * bits)) | (padded[2 : n + 2] << np.uint64(bits)) | padded[3 : n + 3]
+
+
+def suffix_array(key: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first ``depth`` symbols, by prefix doubling from keys of four symbols."""
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    k = 4
     while k < depth:
-        key = rank * (len(text) + 1)
-        key[:-k] += rank[k:] + 1
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        both = rank * (len(key) + 1)
+        both[:-k] += rank[k:] + 1
+        rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
         k *= 2
     return np.argsort(rank, kind="stable")
 
 
-def ranges(text: np.ndarray, order: np.ndarray, chars: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ``chars`` the range of ``order`` whose suffixes begin with its first ``length`` symbols."""
+def ranges(text: np.ndarray, key: np.ndarray, order: np.ndarray, chars: np.ndarray, length: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``chars`` the range of ``order`` whose suffixes begin with its first ``length`` symbols: binary
+    search by the first four symbols at once, then, inside these ranges, symbol by symbol."""
+    ordered = key[order]
+    head = np.zeros(len(chars), np.uint64)
+    for j in range(4):
+        head |= np.where(length > j, chars[:, j], 0).astype(np.uint64) << np.uint64((3 - j) * bits)
+    span = np.uint64(1) << (np.uint64(bits) * (4 - np.minimum(length, 4)).astype(np.uint64))
+    lo, hi = np.searchsorted(ordered, head), np.searchsorted(ordered, head + span)
+    more = np.flatnonzero((length > 4) & (lo < hi))
     padded = np.concatenate([text, np.full(chars.shape[1], -1)])
     edges = []
     for upper in (False, True):
-        lo, hi = np.zeros(len(chars), np.int64), np.full(len(chars), len(order))
-        live = np.arange(len(chars))
+        a, z = lo[more], hi[more]
+        live = np.arange(len(more))
         while len(live):
-            mid = (lo[live] + hi[live]) // 2
-            at = order[mid]
+            mid = (a[live] + z[live]) // 2
+            at, of = order[mid], more[live]
             less = np.zeros(len(live), bool)
             same = np.ones(len(live), bool)
-            for j in range(chars.shape[1]):
-                rest = same & (j < length[live])
+            for j in range(4, chars.shape[1]):
+                rest = same & (j < length[of])
                 if not rest.any():
                     break
-                have, want = padded[at + j], chars[live, j]
+                have, want = padded[at + j], chars[of, j]
                 less |= rest & (have < want)
                 same &= ~rest | (have == want)
             right = less | (same & upper)
-            lo[live[right]] = mid[right] + 1
-            hi[live[~right]] = mid[~right]
-            live = live[lo[live] < hi[live]]
-        edges.append(lo)
-    return edges[0], edges[1]
+            a[live[right]] = mid[right] + 1
+            z[live[~right]] = mid[~right]
+            live = live[a[live] < z[live]]
+        edges.append(a)
+    lo[more], hi[more] = edges
+    return lo, hi
 
 
 class Encoder:
@@ -201,7 +225,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.at, self.n, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.n, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, one after another, and their number for each."""
@@ -211,10 +235,20 @@ class Encoder:
         text = np.frombuffer("".join(s + "\0" for s in spelled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
         first = np.cumsum(n + 1) - (n + 1)
         text[first + n] = 0  # the separator; a NUL of the text is 1
-        order = suffix_array(text, m.chars.shape[1])
-        lo, hi = ranges(text, order, np.where(m.chars > 0, m.chars + 1, 0), m.length)
-        start, piece = order[ragged(lo, hi - lo)], np.repeat(m.ids, hi - lo)
-        size = np.repeat(m.length, hi - lo)
+        names, coded = dense(text)
+        if len(names) >= 1 << BITS:  # too many different characters for the keys
+            half = len(units) // 2
+            both = [self._segment(x) for x in (units[:half], units[half:])] if half else [self._alone(units[0])]
+            return tuple(np.concatenate(x) for x in zip(*both, strict=True))
+        # pieces with a character that the text lacks have no place in it
+        own = np.minimum(np.searchsorted(names, m.chars + 1), len(names) - 1)
+        fit = ((names[own] == m.chars + 1) | (m.chars == 0)).all(1)
+        pieces, chars, length = m.ids[fit], np.where(m.chars[fit] > 0, own[fit] + 1, 0), m.length[fit]
+        key = four(coded, BITS)
+        order = suffix_array(key, m.chars.shape[1])
+        lo, hi = ranges(coded, key, order, chars, length, BITS)
+        start, piece = order[ragged(lo, hi - lo)], np.repeat(pieces, hi - lo)
+        size = np.repeat(length, hi - lo)
         unit = np.repeat(np.arange(len(n)), n + 1)
         by_hand = np.zeros(len(n), bool)
         if m.kind == "bpe":
@@ -249,9 +283,7 @@ class Encoder:
                 total = best[s] + score[p]
                 up = np.lexsort((total, e))
                 last[e[up]], back[e[up]], best[e[up]] = p[up], s[up], total[up]  # the largest is written last
-        out: list[np.ndarray] = []
-        tip = first + n
-        at, ids, of = tip.copy(), [], []
+        at, ids, of = first + n, [], []
         live = np.flatnonzero(~by_hand & (n > 0))
         while len(live):
             ids.append(last[at[live]])
@@ -277,7 +309,6 @@ class Encoder:
                 per[u] = x
             return np.fromiter((i for x in per for i in x), np.int64), np.fromiter(map(len, per), np.int64, len(per))
         place = np.lexsort((-step, of_))
-        del out
         return ids_[place], np.bincount(of_, minlength=len(n))
 
     @staticmethod
@@ -300,15 +331,16 @@ class Encoder:
                 at += len(self.model.pieces[i])
         return out
 
+    def _alone(self, unit: str) -> tuple[np.ndarray, np.ndarray]:
+        own = self._by_hand(unit.replace(" ", SPACE)) if self.model.kind == "bpe" else self.model.library.encode(unit)
+        return np.array(own, np.int64), np.array([len(own)])
+
     def _learn(self, units: list[str]) -> None:
-        if len(units[0]) > BATCH_CHARS:  # stands alone; its graph would not fit
-            own = self._by_hand(units[0].replace(" ", SPACE)) if self.model.kind == "bpe" else self.model.library.encode(units[0])
-            ids, n = np.array(own, np.int64), np.array([len(own)])
-        else:
-            ids, n = self._segment(units)
+        # a longer unit stands alone; its graph would not fit
+        ids, n = self._alone(units[0]) if len(units[0]) > BATCH_CHARS else self._segment(units)
         first = len(self.place)
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-        self.n, self.flat = np.concatenate([self.n, n]), np.concatenate([self.flat, ids])
+        self.n, self.flat = np.concatenate([self.n, n.astype(np.int32)]), np.concatenate([self.flat, ids.astype(np.int32)])
         self.place.update(zip(units, range(first, first + len(units)), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +370,7 @@ class Encoder:
                 size += len(u) + 1
             self._learn(part)
         place = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
-        n = self.n[place]
+        n = self.n[place].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(n)])
         return self.flat[ragged(self.at[place], n)], np.diff(before[np.concatenate([[0], np.cumsum(count, dtype=np.int64)])])
 
@@ -383,6 +415,8 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", ids: bool = True) -> D
                 rows.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], z]).astype(np.int32)), pa.array(flat.astype(np.int32))))
                 names.append("ids")
             yield from pa.table(rows, names).to_batches(max_chunksize=1024)
+            del rows, raw, flat, texts, t
+        trim()
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over, schema)
