@@ -2,13 +2,17 @@
 
 1. ``fingerprints``: each document becomes the list of 64-bit hashes of its lines that hold a word (white space at the
    ends ignored), with their lengths.
-2. Overlapping documents: every line that several documents hold names pairs (earlier, later). A rare line, one of at
-   most ``rare`` documents, pairs each of them with every earlier one; a more frequent line pairs each of its documents
-   with the first one only. So every shared line counts, a line of a third of all documents makes one row per document,
-   and no group's pairs are listed. A pair is kept once, however many lines name it.
-3. ``align`` runs a patience diff over each pair: lines unique to both sides, in their longest increasing order, anchor
+2. Documents with equal lists of lines need one alignment: all but the earliest go as a whole (if they have ``min_chars``
+   characters), and only the earliest is a partner of others.
+3. Overlapping documents: any block of ``min_chars`` characters or more is made of runs, the shortest ranges of adjacent
+   lines from each line on, or up to it, that have so many characters. The holders of a run are numbered by doc_id; a
+   document is aligned with the first ``rare`` holders of its runs, and as long as a run of it is not wholly deleted, with
+   the next ones, eight times as many in each round, until its earlier holders are all tried. The outcome is that of
+   aligning every pair of documents that share a line: a line of a block is inside a run of that block, which is deleted
+   already or leads to this partner.
+4. ``align`` runs a patience diff over each pair: lines unique to both sides, in their longest increasing order, anchor
    the alignment; between anchors it recurses; runs of equal lines extend from both ends of every gap.
-4. A common block is a run of aligned lines that are neighbours on both sides. Blocks of ``min_chars`` characters or more
+5. A common block is a run of aligned lines that are neighbours on both sides. Blocks of ``min_chars`` characters or more
    are deleted from the later document. Blocks are judged on the input, so the outcome doesn't depend on any order.
 
 The earlier document is the one with the smaller doc_id. Defined cases: a null text stays null and an empty one empty;
@@ -27,13 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import column, hash_words, keep, small_batches, tables
+from .common import column, forget, hash_words, keep, mixed, small_batches, tables
 
-#: Documents that a rare line is in, at most.
+#: Holders of a run that the first round aligns a document with.
 RARE = 3
+#: Pairs of a round up to which the documents in them are picked by a broadcast of their ids.
+FEW = 20_000
 #: Characters that a deleted block has, at least.
 MIN_CHARS = 40
 BLANK = " \t\n\x0b\f\r"
@@ -62,16 +70,63 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return known.mapInArrow(over, "doc_id long, version long, lines array<long>, sizes array<int>, places array<int>")
 
 
-def pairs(prints: DataFrame, rare: int) -> DataFrame:
-    """Distinct (earlier, later) documents that a shared line names."""
-    held = prints.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).distinct()
-    lines = held.groupBy("line").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).where("df > 1")
-    shared = held.join(lines, "line")
-    by_first = shared.where(F.col("doc_id") > F.col("first")).select(F.col("first").alias("earlier"), F.col("doc_id").alias("later"))
-    # among the few documents of a rare line; the group is no larger than ``rare``
-    few = shared.where((F.col("df") <= rare) & (F.col("df") > 2)).groupBy("line").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    each = few.select(F.explode(F.expr("flatten(transform(slice(ids, 2, size(ids)), (y, i) -> transform(slice(ids, 2, i), x -> struct(x as earlier, y as later))))")).alias("p")).select("p.*")
-    return by_first.unionAll(each).distinct()
+def runs(prints: DataFrame, min_chars: int) -> DataFrame:
+    """(run, doc_id, version, first, last, n): hash, first and last line number and number of lines of every shortest range
+    of adjacent lines with ``min_chars`` characters, from a line on or up to it."""
+    base = 0x9E3779B97F4A7C15
+    back = pow(base, -1, 1 << 64)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            lists = t.column("lines")
+            h, size, place = (t.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("lines", "sizes", "places"))
+            edges = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            own = np.repeat(np.arange(len(lists)), np.diff(edges))
+            upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            k = np.arange(len(h))
+            to = np.maximum(np.searchsorted(upto, upto[:-1] + min_chars), k + 1)  # ranges from each line on
+            since = np.minimum(np.searchsorted(upto, upto[1:] - min_chars, "right") - 1, k)  # and up to each
+            begin, end = np.concatenate([k, since]), np.concatenate([to, k + 1])
+            doc = np.concatenate([own, own])
+            fit = (begin >= edges[doc]) & (end <= edges[doc + 1])
+            begin, end = np.unique(np.stack([begin[fit], end[fit]]), axis=1)
+            powers = lambda x: np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(h), x, np.uint64))])
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(h.view(np.uint64) * powers(base)[:-1])])
+            run = mixed((sums[end] - sums[begin]) * powers(back)[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+            rows = pa.array(own[begin])
+            made = [pa.array(run), t.column("doc_id").take(rows), t.column("version").take(rows), pa.array(place[begin]), pa.array(place[end - 1]), pa.array((end - begin).astype(np.int32))]
+            yield from pa.table(made, ["run", "doc_id", "version", "first", "last", "n"]).to_batches(max_chunksize=1 << 16)
+
+    return prints.select("doc_id", "version", "lines", "sizes", "places").mapInArrow(over, "run long, doc_id long, version long, first int, last int, n int")
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """``found`` with ``rank``, the number of rows of its run before it by doc_id. Rows are dealt by range, so that no task
+    sees all rows of a run."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for t in batches:
+            if not t.num_rows:
+                continue
+            run = t.column("run").to_numpy()
+            new = np.concatenate([[True], run[1:] != run[:-1]])
+            starts = np.flatnonzero(new)
+            at = np.arange(len(run)) - starts[np.cumsum(new) - 1]
+            if run[0] == last:
+                at[: starts[1] if len(starts) > 1 else len(run)] += n
+            last, n = run[-1], int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(np.full(len(run), part, np.int32)), pa.array(at)], [*t.schema.names, "part", "at"])
+
+    dealt = found.repartitionByRange("run", "doc_id").sortWithinPartitions("run", "doc_id")
+    kept = keep(dealt.mapInArrow(over, "run long, doc_id long, version long, first int, last int, n int, part int, at long"), "dealt")
+    # of the runs that several ranges have, a row for each range
+    cut = kept.groupBy("run").agg(F.min("part").alias("a"), F.max("part").alias("z")).where("a < z").select("run")
+    sizes = kept.join(cut, "run", "left_semi").groupBy("run", "part").agg(F.count("*").alias("size"))
+    ahead = sizes.select("run", "part", F.coalesce(F.sum("size").over(Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    out = keep(kept.join(ahead, ["run", "part"], "left").select(*found.columns, (F.col("at") + F.coalesce("ahead", F.lit(0))).alias("rank")), "runs")
+    forget(found.sparkSession, kept.kept_at)
+    return out
 
 
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -129,11 +184,14 @@ def blocks(matched: list[tuple[int, int]], sizes: list[int], min_chars: int) ->
     return out
 
 
-def deleted(prints: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, version, gone): the places of the lines to delete in each text, ascending."""
-    early = prints.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("a"))
-    late = prints.select(F.col("doc_id").alias("later"), "version", F.col("lines").alias("b"), "sizes", "places")
-    met = pairs(prints, rare).join(early, "earlier").join(late, "later").select("later", "version", "a", "b", "sizes", "places")
+def aligned(met: DataFrame, prints: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, version, gone) for each pair of ``met`` (earlier, early, later, late: doc_ids and versions) with blocks."""
+    if met.count() <= FEW:
+        ids = met.select(F.col("earlier").alias("doc_id"), F.col("early").alias("version")).unionAll(met.select("later", "late")).distinct()
+        prints = prints.join(F.broadcast(ids), ["doc_id", "version"], "left_semi")
+    a = prints.select(F.col("doc_id").alias("earlier"), F.col("version").alias("early"), F.col("lines").alias("a"))
+    b = prints.select(F.col("doc_id").alias("later"), F.col("version").alias("late"), F.col("lines").alias("b"), "sizes", "places")
+    met = met.join(a, ["earlier", "early"]).join(b, ["later", "late"]).select("later", F.col("late").alias("version"), "a", "b", "sizes", "places")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -145,9 +203,42 @@ def deleted(prints: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) ->
             ids, versions, gone = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "version", "gone"])
 
-    each = met.mapInArrow(over, "doc_id long, version long, gone array<int>")
-    # as many lists as the document has partners, each within its own lines
-    return each.groupBy("doc_id", "version").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    return met.mapInArrow(over, "doc_id long, version long, gone array<int>")
+
+
+def deleted(prints: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, version, gone): the places of the lines to delete in each text, ascending."""
+    spark = prints.sparkSession
+    same = [F.xxhash64("lines").alias("whole"), F.size("lines").alias("n_lines")]
+    heads = prints.groupBy(*same).agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").drop("tail")
+    known = keep(prints.select("*", *same).join(heads, ["whole", "n_lines"], "left").drop("whole", "n_lines"), "heads")
+    chars = F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)
+    copies = known.where((F.col("doc_id") > F.col("head")) & (F.size("places") > 0) & (chars >= min_chars)).select("doc_id", "version", F.col("places").alias("gone")).dropDuplicates(["doc_id", "version"])
+    texts = known.where("head is null or doc_id = head")
+
+    found = keep(runs(texts, min_chars), "runs")
+    shared = found.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("run")
+    held = numbered(found.join(shared, "run", "left_semi"))
+    forget(spark, found.kept_at)
+    left, gone, lo, hi = held.where("rank > 0"), None, 0, max(rare, 1)
+    while True:
+        late = left.select("run", F.col("doc_id").alias("later"), F.col("version").alias("late"))
+        early = held.where((F.col("rank") >= lo) & (F.col("rank") < hi)).select("run", F.col("doc_id").alias("earlier"), F.col("version").alias("early"))
+        met = keep(late.join(early, "run").where("earlier < later").drop("run").distinct(), "pairs")
+        each = aligned(met, texts, min_chars)
+        # as many lists as the document has partners, each within its own lines
+        every = (gone.unionAll(each) if gone else each).groupBy("doc_id", "version").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+        before, gone = (gone, left, met), keep(every, "gone")
+        inside = F.size(F.filter("gone", lambda x: (x >= F.col("first")) & (x <= F.col("last"))))
+        open_ = left.where(F.col("rank") > hi).join(gone, ["doc_id", "version"], "left").where(F.col("gone").isNull() | (inside < F.col("n")))
+        left = keep(open_.select(*held.columns), "open")
+        for x in before:
+            if hasattr(x, "kept_at"):
+                forget(spark, x.kept_at)
+        if left.isEmpty():
+            forget(spark, held.kept_at)
+            return gone.unionAll(copies)
+        lo, hi = hi, 8 * hi
 
 
 def marked(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -219,6 +219,26 @@ def test_line_dedup(docs, rows):
         assert (got[i].kept, got[i].n_lines, got[i].n_deleted) == (want, len(lines.get(i, [])), len(gone[i])), i
 
 
+def test_line_dedup_equals_all_pairs(spark):
+    """Lines of many documents, in other orders, apart and repeated, so that the first holder's alignment misses blocks."""
+    rnd = random.Random(3)
+    part = lambda c: [f"{c}{k} the line has some more words" for k in range(5)]
+    a, b, two = part("a"), part("b"), ["a passage in one line only", "and its second line, shorter"]
+    texts = [a + b, *[b + a] * 4, [two[0], "x1", two[1]], *[["y" * k, *two, "z" * k] for k in range(3, 7)]]
+    lines = [f"{'w' * (1 + k % 50)} {k}" for k in range(12)]
+    texts += [[rnd.choice(lines) for _ in range(rnd.randrange(1, 9))] for _ in range(120)]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(texts)]
+    want = {i: set() for i, _ in rows}
+    for later, x in enumerate(texts):
+        for y in texts[:later]:
+            for f, z in line_dedup.blocks(line_dedup.align(y, x), [len(v) for v in x], line_dedup.MIN_CHARS):
+                want[later].update(range(f, z))
+    got = {r.doc_id: r.line_dedup for r in line_dedup.marked(frame(spark, rows)).collect()}
+    for i, x in enumerate(texts):
+        assert (got[i].n_deleted, got[i].kept) == (len(want[i]), "\n".join(v for k, v in enumerate(x) if k not in want[i])), i
+    assert [got[i].n_deleted for i in (2, 3, 4)] == [10, 10, 10] and [got[i].n_deleted for i in (7, 8, 9)] == [2, 2, 2]
+
+
 def test_patience_anchors_on_unique_lines():
     assert line_dedup.align([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_dedup.align([5, 1, 5, 2, 5], [5, 2, 5, 1, 5]) in ([(0, 0), (1, 3), (4, 4)], [(0, 0), (3, 1), (4, 4)])
