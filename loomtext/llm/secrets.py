@@ -1,10 +1,10 @@
 """Secret scan with a random forest that removes false positives, in DataFrame functions and Spark's own ML.
 
 ``candidates`` finds strings that could be secrets: known key forms, values assigned to telling names, and long runs of
-key characters. A candidate is a distinct value of a document, placed at its first occurrence. ``features`` describes it
+key characters. A candidate is a distinct value of a document; each of its occurrences is judged in its own context. ``features`` describes one
 by length, character classes and the transitions between them, entropy, the share of it that dictionary words cover, the
 path it comes from, and the words before and after it. ``train`` fits Spark's random forest on labelled findings, and
-``scan`` gives every candidate the forest's probability and verdict.
+``scan`` gives every candidate the forest's highest probability and verdict.
 
 ``labelled_findings`` makes a labelled table from rules, for use where nobody has labelled findings: keys, tokens and
 assigned passwords against long words, placeholders, identifiers, paths, digests and numbers. Pass your own table of
@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 NAMES = "(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)"
 ASSIGNED = NAMES + "[\"']?\\s{0,3}[=:]\\s{0,3}[\"']?"
 KEYS = "AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abpr]-[0-9A-Za-z-]{10,}"
-CANDIDATE = f"(?<![A-Za-z0-9+/_=-])(?:{KEYS}|{ASSIGNED}[^\\s\"']{{6,}}|[A-Za-z0-9+/_=-]{{20,}})"
+RUN = "[A-Za-z0-9+/_=-]"
+#: What stands before the value in a match: a name with any prefix and its sign, or what a separator ends before a known key.
+AHEAD = f"{RUN}*?{ASSIGNED}"
+KEY_AHEAD = f"{RUN}*?[+/_=-]"
+CANDIDATE = f"(?<!{RUN})(?:{KEYS}|{AHEAD}[^\\s\"']{{6,}}|{KEY_AHEAD}(?:{KEYS})|{RUN}{{20,}})"
 #: Frequent words and word parts of the four languages and of code.
 DICTIONARY = (
     "about after again able ably access account address admin all and answer are auch auf aux avec been before bei but change changeme check class client code como con config content could data das default del den der des die dummy ein eine einer elle est este example file first from für "
@@ -38,15 +42,20 @@ CONTEXT = 40
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, value, assigned, start, n_times, before, after) of ``docs`` (doc_id, text, source)."""
+    """(row, doc_id, path, value, assigned, start, before, after) of ``docs`` (doc_id, text, source), for every occurrence;
+    ``row`` tells rows of ``docs`` apart."""
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
-    each = found.where(F.size("found") > 0).select("doc_id", "path", "text", F.size("found").alias("n"), "found", F.explode(F.array_distinct("found")).alias("match"))
-    bare = F.regexp_replace("match", "^" + ASSIGNED, "")
-    placed = each.select("doc_id", "path", "text", "match", bare.alias("value"), F.instr("text", F.col("match")).alias("at"), (F.col("n") - F.size(F.array_remove("found", F.col("match")))).alias("n_times"))
+    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    # a match stands where the texts between matches and the matches before it end
+    gaps = found.where(F.size("found") > 0).withColumn("gaps", F.transform(F.split("text", CANDIDATE, -1), lambda x: F.length(x)))
+    steps = gaps.withColumn("steps", F.transform("found", lambda x, i: F.get("gaps", i) + F.when(i > 0, F.length(F.get("found", i - 1))).otherwise(0)))
+    ends = F.transform("found", lambda x, i: F.struct(x.alias("match"), (F.aggregate(F.slice("steps", 1, i + 1), F.lit(0), lambda a, n: a + n) + 1).alias("at")))
+    each = steps.select("row", "doc_id", "path", "text", F.explode(ends).alias("m")).select("row", "doc_id", "path", "text", "m.match", "m.at")
+    bare = F.regexp_replace(F.regexp_replace("match", f"^{AHEAD}(?=[^\\s\"']{{6}})", ""), f"^{KEY_AHEAD}(?=(?:{KEYS})$)", "")
+    placed = each.withColumn("value", bare)
     start = F.col("at") + F.length("match") - F.length("value")
     return placed.select(
-        "doc_id", "path", "value", (F.length("match") > F.length("value")).alias("assigned"), (start - 1).cast("long").alias("start"), F.col("n_times").cast("long"),
+        "row", "doc_id", "path", "value", F.col("match").rlike(f"^{AHEAD}[^\\s\"']{{6}}").alias("assigned"), (start - 1).cast("long").alias("start"),
         F.substring("text", F.greatest(F.lit(1), start - CONTEXT), F.least(F.lit(CONTEXT), start - 1)).alias("before"),
         F.substring("text", start + F.length("value"), F.lit(CONTEXT)).alias("after"),
     )
@@ -121,10 +130,11 @@ def train(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 7) -
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, n_times, value_sha256, probability, is_secret) for every candidate of ``docs``."""
-    judged = model.transform(features(candidates(docs)))
-    sure = vector_to_array("probability")[1]
-    return judged.select("doc_id", "start", "n_times", F.sha2("value", 256).alias("value_sha256"), F.round(sure, 6).alias("probability"), (sure >= threshold).alias("is_secret"))
+    """(doc_id, start, n_times, value_sha256, probability, is_secret, starts) for every candidate of ``docs``: its first
+    start, the highest probability of its occurrences, and all their starts."""
+    judged = model.transform(features(candidates(docs))).withColumn("sure", vector_to_array("probability")[1])
+    each = judged.groupBy("row", "doc_id", F.sha2("value", 256).alias("value_sha256")).agg(F.min("start").alias("start"), F.count("*").alias("n_times"), F.max("sure").alias("sure"), F.sort_array(F.collect_list("start")).alias("starts"))
+    return each.select("doc_id", "start", "n_times", "value_sha256", F.round("sure", 6).alias("probability"), (F.col("sure") >= threshold).alias("is_secret"), "starts")
 
 
 def run(docs: DataFrame) -> DataFrame:
