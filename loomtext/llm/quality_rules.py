@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a list is fitted on, at most.
 LABEL_ROWS = 20_000
-#: Thresholds tried for each statistic and direction, literals in a rule, rules in a list, words in the word list.
-CUTS, LITERALS, RULES, WORDS = 24, 4, 12, 64
+#: Thresholds tried for each statistic and direction, literals in a rule, rules in a list.
+CUTS, LITERALS, RULES = 24, 4, 12
 #: What a rule needs on the pruning rows, and a word on the labelled rows.
 PRECISION, WORD_PRECISION, LEAST = 0.9, 0.9, 5
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -102,12 +102,12 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def marked_words(rows: DataFrame) -> list[str]:
-    """Words that stand almost only in bad documents, the most frequent first."""
+    """All words that stand almost only in bad documents, the most frequent first; their number is bounded by LABEL_ROWS."""
     # copies of a text count once, else the words of a text that is copied often would look like evidence
     once = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("bad").alias("bad"))
     words = once.select("bad", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}]+"))).alias("word")).where("word <> ''")
     counted = words.groupBy("word").agg(F.count_if("bad").alias("n_bad"), F.count("*").alias("n")).where((F.col("n_bad") >= 2 * LEAST) & (F.col("n_bad") >= WORD_PRECISION * F.col("n")))
-    return [r["word"] for r in counted.orderBy(F.desc("n_bad"), "word").limit(WORDS).collect()]
+    return [r["word"] for r in counted.orderBy(F.desc("n_bad"), "word").collect()]
 
 
 def grow(rows: list[tuple[tuple[float, ...], bool, bool]]) -> list[Rule]:

@@ -323,6 +323,12 @@ def test_quality_learns(spark):
     assert wrong <= 6
 
 
+def test_quality_word_list_is_whole(spark):
+    words = ["bad" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(90)]
+    rows = [(k, f"{' '.join(words)} {k}", True) for k in range(10)] + [(k, f"fine text {k}", False) for k in range(10, 30)]
+    assert quality_rules.marked_words(spark.createDataFrame(rows, "doc_id long, text string, bad boolean")) == sorted(words)
+
+
 def backoff_truth(rows, order=3, alpha=0.4):
     w = {i: words_of(lower(t)) for i, t in rows}
     own = {i: Counter(tuple(x[k : k + n]) for n in range(1, order + 1) for k in range(len(x) - n + 1)) for i, x in w.items()}
