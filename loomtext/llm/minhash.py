@@ -14,8 +14,8 @@ A document's set holds its distinct shingles of ``n`` words (all words as one sh
    into blocks; every pair of blocks is walked on its own, and gives back a spanning forest only.
 5. The components of all confirmed links, and each document's smallest member.
 
-With 26 bands of 5 rows, two documents at similarity 0.85 miss every band with probability 2.4e-7, and at 6.5 standard
-errors the estimate passes over one with 4e-11. Shingles are compared as 64-bit hashes of 64-bit word hashes.
+The number of bands follows from the threshold: with 26 bands of 5 rows, two documents at similarity 0.85 miss every band
+with probability 2.4e-7, with 39 bands two at 0.80 with 1.9e-7, and at 6.5 standard errors the estimate passes over one with 4e-11. Shingles are compared as 64-bit hashes of 64-bit word hashes.
 
 Defined cases: null, empty or blank texts have the empty set, and are linked with nothing; equal texts are linked
 whatever their doc_id; a repeated doc_id keeps one row per row; a component whose doc_ids are all null has a null id and
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,18 @@ from pyspark.sql import functions as F
 
 from .common import column, components, forget, hash_words, keep, mixed, odd_numbers, ragged, small_batches, split_words, tables
 
-BANDS, ROWS, BITS, SLACK = 26, 5, 2, 6.5
+ROWS, BITS, SLACK = 5, 2, 6.5
+#: Probability at most that two documents at the threshold share no band.
+MISS = 2.5e-7
 #: Shingles that one task holds of a cluster.
 BLOCK_SHINGLES = 1 << 20
 
 
+def bands_for(percent: int, rows: int) -> int:
+    """The bands that two documents at the threshold all miss with probability ``MISS`` at most."""
+    return 1 if percent >= 100 else ceil(log(MISS) / log1p(-((percent / 100) ** rows)))
+
+
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, one text after another, and their number."""
     codes, count, words = split_words(texts, lower=True)
@@ -180,9 +188,10 @@ def resolve(cluster: DataFrame, percent: int, n: int, bits: int, k: int, slack:
     return cluster.repartition(parts, "cid", "i", "j").sortWithinPartitions("cid", "i", "j").mapInArrow(over, "a long, b long")
 
 
-def components_of(docs: DataFrame, percent: int = 85, n: int = 5, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, slack: float = SLACK) -> DataFrame:
+def components_of(docs: DataFrame, percent: int = 85, n: int = 5, bands: int | None = None, rows: int = ROWS, bits: int = BITS, slack: float = SLACK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    bands = bands or bands_for(percent, rows)
     signed = keep(signatures(docs, n, bands, rows, bits), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))

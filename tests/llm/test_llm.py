@@ -186,6 +186,12 @@ def test_minhash(docs, rows, percent, block, monkeypatch):
     assert got == near_truth(rows, percent)
 
 
+def test_minhash_bands_follow_the_threshold():
+    assert (minhash.bands_for(85, 5), minhash.bands_for(80, 5)) == (26, 39)
+    for percent in (50, 80, 85, 95, 100):
+        assert (1 - (percent / 100) ** 5) ** minhash.bands_for(percent, 5) <= minhash.MISS
+
+
 def test_minhash_estimate():
     import numpy as np
 
