@@ -41,7 +41,8 @@ def masked_log_prob(logits: Column, ids: Column, mask: Column) -> Column:
 
 def dpo_loss(chosen: Column, rejected: Column, ref_chosen: Column, ref_rejected: Column, beta: float = 0.1) -> Column:
     """N4, of one pair: -ln sigmoid(beta * ((chosen - ref) - (rejected - ref)))."""
-    return F.log1p(F.exp(-beta * ((chosen - ref_chosen) - (rejected - ref_rejected))))
+    x = -beta * ((chosen - ref_chosen) - (rejected - ref_rejected))
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
 def repetition_penalty(logits: Column, history: Column, penalty: float, window: int = 50) -> Column:

@@ -34,6 +34,7 @@ QA = [
     f'(?d)"question"{WS}*:{WS}*"(.+?)".*?"answer"{WS}*:{WS}*"(.+?)"',
     "(?d)^(.+?)\\t(.+)",
 ]
+# Sentence ends; the classes of single characters, in ranges.
 SENTENCE = "[^。！？；\\n]+|[。！？；\\n]+"
 CJK = r"[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff]|[\u3000-\u303f\uff00-\uffef]|[^\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff\u3000-\u303f\uff00-\uffef]+"
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import regexes as R
+from .numeric import let
 
 
 def strip_ws(x: Column) -> Column:
@@ -96,15 +101,23 @@ def clean_markdown(x: Column) -> tuple[Column, dict[str, Column]]:
 
 
 def parse_qa(line: Column) -> Column:
-    """C15. struct(q, a), both null unless the first form that matches has both."""
-    text = strip_ws(line)
-    forms = []
-    for k, p in enumerate(R.QA):
-        q, a = (F.regexp_extract(text, p, i) for i in (1, 2))
-        long = F.lit(True) if k < 4 else (F.length(q) > 2) & (F.length(a) > 5)
-        forms.append(F.struct((text.rlike(p) & long).alias("hit"), q.alias("q"), a.alias("a")))
-    first = F.transform(F.slice(F.filter(F.array(*forms), lambda x: x["hit"]), 1, 1), lambda x: F.struct(strip_ws(x["q"]).alias("q"), strip_ws(x["a"]).alias("a")))
-    return F.coalesce(F.get(F.filter(first, lambda x: (x["q"] != "") & (x["a"] != "")), F.lit(0)), F.struct(F.lit(None).cast("string").alias("q"), F.lit(None).cast("string").alias("a")))
+    """C15. struct(q, a), both null unless the first form that matches has both. Groups are taken of that form only."""
+    none = F.lit(None).cast("struct<q:string,a:string>")
+
+    def first(text: Column) -> Column:
+        out = None
+        for k, p in enumerate(R.QA):
+            both = F.struct(*[F.regexp_extract(text, p, i).alias(n) for i, n in ((1, "q"), (2, "a"))])
+            hit = text.rlike(p)
+            if k == 4:
+                hit = hit & let(both, lambda g: (F.length(g["q"]) > 2) & (F.length(g["a"]) > 5))
+            out = F.when(hit, both) if out is None else out.when(hit, both)
+        return out
+
+    bare = lambda g: F.struct(strip_ws(g["q"]).alias("q"), strip_ws(g["a"]).alias("a"))
+    full = lambda g: F.when((g["q"] != "") & (g["a"] != ""), g).otherwise(none)
+    found = let(let(let(strip_ws(line), first), bare), full)
+    return F.struct(found["q"].alias("q"), found["a"].alias("a"))
 
 
 def qa_has_url(q: Column, a: Column) -> Column:
@@ -129,9 +142,19 @@ def follow_ups(answer: Column) -> Column:
     return F.filter(turns, lambda t: t["user"].isNotNull() & t["assistant"].isNotNull())
 
 
+@lru_cache
+def _digits() -> tuple[str, str, str]:
+    """Decimal digits of all scripts, their values as 0-9, and digits that are no decimals (superscripts and such)."""
+    every = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit()]
+    decimal = [c for c in every if c.isdecimal()]
+    return "".join(decimal), "".join(str(unicodedata.decimal(c)) for c in decimal), "".join(c for c in every if not c.isdecimal())
+
+
 def parse_score(reply: Column) -> Column:
-    """C20. All digits of a reply together as a score of 1 to 5, else null."""
-    digits = F.regexp_replace(reply, "[^0-9]", "")
+    """C20. All digits of a reply together as a score of 1 to 5, else null. Digits of any script count; one that is no
+    decimal, such as a superscript, makes the reply invalid."""
+    decimal, value, other = _digits()
+    digits = F.translate(F.regexp_replace(reply, f"[^\\p{{Nd}}{other}]", ""), decimal, value)
     return F.when(digits.rlike("^0*[1-5]$"), digits.cast("int"))
 
 
@@ -149,8 +172,10 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 
 def chatml(messages: Column, prompt: bool = False) -> Column:
-    """C23. Turns (role, content) as text, with the head of an answer if ``prompt``."""
-    turns = F.transform(messages, lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), m["content"], F.lit(END + "\n")))
+    """C23. Turns (role, content) as text, with the head of an answer if ``prompt``. A null role or content is empty; the
+    turn stays."""
+    said = lambda x: F.coalesce(x, F.lit(""))
+    turns = F.transform(messages, lambda m: F.concat(F.lit(START), said(m["role"]), F.lit("\n"), said(m["content"]), F.lit(END + "\n")))
     return F.concat(F.array_join(turns, ""), F.lit(f"{START}assistant\n" if prompt else ""))
 
 
@@ -186,8 +211,3 @@ def prefix(x: Column, n: int) -> Column:
 def uniform(seed: int, key: Column) -> Column:
     """A number in [0, 1) that depends on seed and key only, the same in any plan and partitioning."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
-def hash64(x: Column) -> Column:
-    """The first 8 bytes of md5 as a signed 64-bit number."""
-    return F.conv(F.substring(F.md5(x), 1, 16), 16, -10).cast("bigint")

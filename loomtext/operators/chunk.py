@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import regexes as R
-from loomtext.functions.text import uniform
+from loomtext.functions.text import strip_ws, uniform
 from loomtext.operators.mix import running
 
 
@@ -34,11 +34,11 @@ def pack_stream(lines: DataFrame, order: str, max_len: int = 400, group: str | N
     """T3. Packing that goes on from line to line; a blank line flushes and is written itself. The lines between two
     blank ones are one fold; ``group`` keeps sources apart. (group, order of the first line, chunks)."""
     keys = [group] if group else []
-    blank = F.btrim("text") == ""
+    blank = strip_ws(F.col("text")) == ""
     # a blank line closes the block before it, and is one itself
     block = running(lines, blank.cast("int"), [order], keys, "_blanks").withColumn("_block", F.col("_blanks") * 2 + blank.cast("int"))
     joined = block.groupBy(*keys, "_block").agg(F.min(order).alias(order), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: s["text"]), "").alias("text"))
-    return joined.select(*keys, order, F.when(F.btrim("text") == "", F.array(F.lit(""))).otherwise(pack(F.col("text"), max_len)).alias("chunks"))
+    return joined.select(*keys, order, F.when(strip_ws(F.col("text")) == "", F.array(F.lit(""))).otherwise(pack(F.col("text"), max_len)).alias("chunks"))
 
 
 def windows(ids: Column, length: int, stride: int | None = None) -> Column:
@@ -72,4 +72,4 @@ def collate_pairs(rows: DataFrame, batch: str, value: int = 0) -> DataFrame:
     longest = rows.groupBy(batch).agg(F.max(F.size("chosen")).alias("_c"), F.max(F.size("rejected")).alias("_r"))
     met = rows.join(longest, batch)
     zero = lambda m, n: F.concat(m, F.array_repeat(F.lit(0.0).cast("float"), F.greatest(F.lit(0), n - 1 - F.size(m)).cast("int")))
-    return met.select(batch, pad(F.col("chosen"), F.col("_c"), value).alias("chosen"), pad(F.col("rejected"), F.col("_r"), value).alias("rejected"), zero(F.col("chosen_mask"), F.col("_c")).alias("chosen_mask"), zero(F.col("rejected_mask"), F.col("_r")).alias("rejected_mask"))
+    return met.select(*[c for c in rows.columns if c not in ("chosen", "rejected", "chosen_mask", "rejected_mask")], pad(F.col("chosen"), F.col("_c"), value).alias("chosen"), pad(F.col("rejected"), F.col("_r"), value).alias("rejected"), zero(F.col("chosen_mask"), F.col("_c")).alias("chosen_mask"), zero(F.col("rejected_mask"), F.col("_r")).alias("rejected_mask"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from datetime import datetime
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import map_score
+from loomtext.sources.writers import write_report
 
 
 def label_distribution(spark: SparkSession, labels: DataFrame, column: str = "score") -> DataFrame:
@@ -70,9 +74,21 @@ def consistency(hits: DataFrame, group: str) -> DataFrame:
     return hits.groupBy(group).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).select(group, "n", "hits", (F.col("hits") >= 2).alias("two"), (F.col("hits") >= 0.67 * F.col("n")).alias("share"))
 
 
-def report(parts: dict[str, DataFrame], benchmarks: str) -> dict:
-    """V7. Named results as plain rows; each is a small aggregate."""
-    return {name: [r.asDict() for r in parts[name].collect()] for name in benchmarks.split(",") if name in parts}
+def report(parts: dict[str, DataFrame], benchmarks: str = "ppl,knowledge") -> dict:
+    """V7. The named results (a list with commas) as plain rows; each is a small aggregate. An unknown name is an error."""
+    wanted = [x.strip() for x in benchmarks.split(",") if x.strip()]
+    if unknown := [x for x in wanted if x not in parts]:
+        raise ValueError(f"no results for: {', '.join(unknown)}")
+    return {name: [r.asDict() for r in parts[name].collect()] for name in wanted}
+
+
+def run_report(spark: SparkSession, parts: dict[str, DataFrame], model: str, folder: str, benchmarks: str = "ppl,knowledge", output: str = "") -> str:
+    """V7, K8. The report as one JSON document with ``_meta``, under ``output`` or eval_{model}_{time} in ``folder``; the
+    path."""
+    now = datetime.now()
+    path = output or f"{folder}/eval_{os.path.splitext(os.path.basename(model))[0]}_{now:%Y%m%d_%H%M%S}.json"
+    write_report(spark, report(parts, benchmarks), path, {"model": model, "timestamp": now.isoformat()})
+    return path
 
 
 def loss_spikes(log: DataFrame, factor: float = 6.0) -> DataFrame:

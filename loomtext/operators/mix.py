@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import uniform
+from loomtext.functions.text import strip_ws, uniform
+from loomtext.plans.session import checkpointed
 
 
 def running(df: DataFrame, value: Column, order: list[str], keys: list[str] = (), name: str = "_before") -> DataFrame:
     """``df`` with ``name``, the sum of ``value`` over the rows before each, by ``order`` and within ``keys``. Rows are dealt
-    by range, so that no task sees all rows of a key; the sums of the ranges are a small table."""
-    spread = df.repartitionByRange(*keys, *order).withColumns({"_p": F.spark_partition_id(), "_v": value})
+    by range, so that no task sees all rows of a key; the sums of the ranges are a small table. The dealt rows are written
+    once, since both sides of the join need the same ranges."""
+    spread = checkpointed(df.repartitionByRange(*keys, *order).withColumns({"_p": F.spark_partition_id(), "_v": value}))
     own = spread.groupBy(*keys, "_p").agg(F.sum("_v").alias("_n"))
     past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     parts = own.withColumn("_ahead", F.coalesce(F.sum("_n").over(past(Window.partitionBy(*keys).orderBy("_p"))), F.lit(0)))
@@ -56,10 +58,10 @@ def split_of(key: Column, train: float = 0.9, valid: float = 0.05, seed: int = 4
 
 
 def assign_splits(docs: DataFrame, ratios: list[float] | None = None, sources: list[str] | None = None, key: str = "doc_id", **shares) -> DataFrame:
-    """M7. ``docs`` with ``split``, blank texts left out."""
+    """M7. ``docs`` with ``split``, texts without their outer white space, blank ones left out."""
     if ratios is not None and len(ratios) != len(sources or ()):
         raise ValueError(f"{len(ratios)} ratios for {len(sources or ())} sources")
-    return docs.where(F.btrim("text") != "").withColumn("split", split_of(F.col(key), **shares))
+    return docs.withColumn("text", strip_ws(F.col("text"))).where("text <> ''").withColumn("split", split_of(F.col(key), **shares))
 
 
 def split_stats(split: DataFrame) -> DataFrame:
@@ -72,6 +74,11 @@ def sample_k(docs: DataFrame, n: int, min_len: int = 20, seed: int = 42, key: st
     return docs.where(F.length("text") >= min_len).orderBy(uniform(seed, F.col(key)), key).limit(n)
 
 
+def of_subjects(items: DataFrame, subjects: list[str] | None = None) -> DataFrame:
+    """M12. Items of the named subjects; all without names. An item without a subject has the empty one."""
+    return items.where(F.coalesce("subject", F.lit("")).isin(subjects)) if subjects else items
+
+
 def head(docs: DataFrame, n: int, order: str) -> DataFrame:
     """M9."""
     return docs.orderBy(order).limit(n)
@@ -84,7 +91,7 @@ def category_build(parts: dict[str, DataFrame], shares: dict[str, float], total:
         want = int(total * shares[name])
         have = max(1, df.count())
         tiled = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(-(-want // have)))))
-        own = tiled.orderBy("_copy", uniform(seed, F.col(key))).limit(want).drop("_copy").withColumn("category", F.lit(name))
+        own = tiled.orderBy("_copy", uniform(seed, F.col(key)), key).limit(want).drop("_copy").withColumn("category", F.lit(name))
         out = own if out is None else out.unionByName(own)
     return out
 

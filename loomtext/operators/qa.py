@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import parse_qa, qa_has_url, strip_ws
 from loomtext.operators.dedup import first_of
+from loomtext.plans.session import checkpointed
 
 
 def judged_qa(rows: DataFrame, order: str, min_answer: int = 20) -> DataFrame:
@@ -14,7 +15,7 @@ def judged_qa(rows: DataFrame, order: str, min_answer: int = 20) -> DataFrame:
     of an earlier row that got as far."""
     parsed = rows.withColumn("_qa", parse_qa(F.col("text"))).select("*", "_qa.q", "_qa.a").drop("_qa")
     early = F.when(F.col("q").isNull(), "unparsed").when(F.length("a") < min_answer, "short").when(qa_has_url(F.col("q"), F.col("a")), "url")
-    staged = parsed.withColumn("status", early)
+    staged = checkpointed(parsed.withColumn("status", early), "parsed")  # both sides of the join read it
     first = staged.where("status is null").groupBy(F.md5("q").alias("_k")).agg(F.min(order).alias("_first"))
     met = staged.join(first, (F.md5(staged["q"]) == F.col("_k")) & staged["status"].isNull(), "left")
     return met.withColumn("status", F.coalesce("status", F.when(F.col(order) == F.col("_first"), "kept").otherwise("duplicate"))).drop("_k", "_first")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,8 @@ def pretokens(text: Column) -> Column:
 
 
 def byte_ids(text: Column) -> Column:
-    """B3. UTF-8 bytes as ids."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
-    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int") + FIRST_BYTE)
+    """B3. UTF-8 bytes as ids: each byte is a character of the same number in ISO-8859-1."""
+    return F.transform(F.regexp_extract_all(F.decode(F.encode(text, "utf-8"), "ISO-8859-1"), F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c) + FIRST_BYTE)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -38,22 +38,37 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(pretokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def train(docs: DataFrame, vocab_size: int, max_chars: int = 1_000_000, order: str = "doc_id") -> Tokenizer:
+#: Characters that the vocabulary is trained on, at most: what is counted reaches the driver as distinct words.
+QUOTA = 500_000_000
+
+
+def train(docs: DataFrame, vocab_size: int, max_chars: int = QUOTA, order: str = "doc_id") -> Tokenizer:
     """B4. The most frequent pair merges first, the smallest of equals, until the vocabulary is full or no pair occurs
-    twice. The quota of characters bounds what reaches the driver, as distinct words with counts."""
-    words = word_counts(first_chars(docs.select(order, "text"), max_chars, order))
+    twice. Words are counted over all documents, distributed; a corpus beyond the quota is cut to its first characters."""
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    words = word_counts(first_chars(docs.select(order, "text"), max_chars, order) if size > max_chars else docs)
     return train_on({r["word"]: r["n"] for r in words.toLocalIterator()}, vocab_size)
 
 
 def train_on(counts: dict[str, int], vocab_size: int) -> Tokenizer:
-    seqs = [[b + FIRST_BYTE for b in w.encode()] for w in sorted(counts)]
-    weight = [counts[w] for w in sorted(counts)]
+    """Merges over one array of all words' symbols, -1 after each word. A merge looks for its pair over the array, and
+    recounts only the pairs around the places that change."""
+    words = sorted(counts)
+    raw = [np.append(np.frombuffer(w.encode(), np.uint8).astype(np.int32) + FIRST_BYTE, -1) for w in words]
+    s = np.concatenate([np.array([-1], np.int32), *raw]).astype(np.int32)
+    weight = np.concatenate([[0], np.repeat([counts[w] for w in words], [len(x) for x in raw])]).astype(np.int64)
     total: Counter[tuple[int, int]] = Counter()
-    where: defaultdict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, s in enumerate(seqs):
-        for p in zip(s, s[1:], strict=False):
-            total[p] += weight[k]
-            where[p].add(k)
+
+    def around(places: np.ndarray) -> list[tuple[tuple[int, int], int]]:
+        """Weights of the distinct pairs that begin at these places."""
+        places = places[(places >= 0) & (places + 1 < len(s))]
+        places = places[(s[places] >= 0) & (s[places + 1] >= 0)]
+        names, inverse = np.unique((s[places].astype(np.int64) << 32) | s[places + 1], return_inverse=True)
+        sums = np.zeros(len(names), np.int64)
+        np.add.at(sums, inverse, weight[places])
+        return [((int(n) >> 32, int(n) & 0xFFFFFFFF), int(k)) for n, k in zip(names, sums, strict=True)]
+
+    total.update(dict(around(np.arange(len(s)))))
     heap = [(-n, p) for p, n in total.items()]
     heapq.heapify(heap)
     merges: list[tuple[int, int]] = []
@@ -65,37 +80,27 @@ def train_on(counts: dict[str, int], vocab_size: int) -> Tokenizer:
             continue
         if -n < 2:
             break
-        new = FIRST_MERGE + len(merges)
+        at = np.flatnonzero((s[:-1] == pair[0]) & (s[1:] == pair[1]))
+        if pair[0] == pair[1] and len(at):  # of overlapping places every other one, from the left
+            start = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            at = at[(np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))) % 2 == 0]
+        changed = Counter({p: -k for p, k in around(np.unique(np.concatenate([at - 1, at, at + 1])))})
+        s[at] = FIRST_MERGE + len(merges)
+        stay = np.ones(len(s), bool)
+        stay[at + 1] = False
+        s, weight = s[stay], weight[stay]
+        at = at - np.arange(len(at))
+        for p, k in around(np.unique(np.concatenate([at - 1, at]))):
+            changed[p] += k
         merges.append(pair)
-        changed = set()
-        for k in where.pop(pair):
-            s, w = seqs[k], weight[k]
-            for p in zip(s, s[1:], strict=False):
-                total[p] -= w
-                changed.add(p)
-            s = seqs[k] = _join(s, pair, new)
-            for p in zip(s, s[1:], strict=False):
-                total[p] += w
-                where[p].add(k)
-                changed.add(p)
-        for p in changed:
-            if total[p] > 0:
-                heapq.heappush(heap, (-total[p], p))
+        for p, k in changed.items():
+            if k:
+                total[p] += k
+                if total[p] > 0:
+                    heapq.heappush(heap, (-total[p], p))
     return Tokenizer(merges)
 
 
-def _join(s: list[int], pair: tuple[int, int], new: int) -> list[int]:
-    out, k = [], 0
-    while k < len(s):
-        if k + 1 < len(s) and s[k] == pair[0] and s[k + 1] == pair[1]:
-            out.append(new)
-            k += 2
-        else:
-            out.append(s[k])
-            k += 1
-    return out
-
-
 class Tokenizer:
     def __init__(self, merges: list[tuple[int, int]]):
         self.merges = [tuple(m) for m in merges]
@@ -143,7 +148,7 @@ class Tokenizer:
         out, at = [BOS] * bos, 0
         for m in [*self._special.finditer(text), None]:
             for w in self._word.findall(text[at : m.start() if m else len(text)]):
-                out += self._cached(w)
+                out += self._cached(w) if len(w) <= 64 else self._encode_word(w)
             if m:
                 out.append(SPECIALS.index(m[0]))
                 at = m.end()

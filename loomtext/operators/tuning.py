@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions.numeric import let
 from loomtext.functions.text import chatml, uniform
 
 IGNORE = -100
@@ -42,13 +43,25 @@ def inject_system(messages: Column, key: Column, prompts: list[str], ratio: floa
 def sft_item(prompt: Column, full: Column, max_len: int, pad: int = 0) -> Column:
     """S3, S4. struct(input, labels) of prompt ids and all ids: cut on the left to max_len, shifted by one, labels of the
     prompt ignored but for its last place, both padded to max_len."""
-    cut = F.greatest(F.lit(0), F.size(full) - max_len)
-    ids = F.slice(full, cut + 1, F.least(F.size(full), F.lit(max_len)))
-    p = F.greatest(F.lit(0), F.size(prompt) - cut)
-    n = F.greatest(F.lit(0), F.size(ids) - 1)
-    labels = F.transform(F.slice(ids, F.lit(2), n), lambda x, i: F.when(i < p - 1, IGNORE).otherwise(x))
-    rest = (F.lit(max_len) - n).cast("int")
-    return F.struct(F.concat(F.slice(ids, F.lit(1), n), F.array_repeat(F.lit(pad), rest)).alias("input"), F.concat(labels, F.array_repeat(F.lit(IGNORE), rest)).alias("labels"))
+
+    def item(both: Column) -> Column:
+        ids, p = both["ids"], both["p"]
+        n = F.greatest(F.lit(0), F.size(ids) - 1)
+        labels = F.transform(F.slice(ids, F.lit(2), n), lambda x, i: F.when(i < p - 1, IGNORE).otherwise(x))
+        rest = (F.lit(max_len) - n).cast("int")
+        return F.struct(F.concat(F.slice(ids, F.lit(1), n), F.array_repeat(F.lit(pad), rest)).alias("input"), F.concat(labels, F.array_repeat(F.lit(IGNORE), rest)).alias("labels"))
+
+    return let(_cut(prompt, full, max_len), item)
+
+
+def _cut(prompt: Column, full: Column, max_len: int) -> Column:
+    """struct(ids, p): the last max_len of all ids, and how many of the prompt's are among them."""
+
+    def cut(x: Column) -> Column:
+        lost = F.greatest(F.lit(0), F.size(x["full"]) - max_len)
+        return F.struct(F.slice(x["full"], lost + 1, F.least(F.size(x["full"]), F.lit(max_len))).alias("ids"), F.greatest(F.lit(0), x["n"] - lost).alias("p"))
+
+    return let(F.struct(full.alias("full"), F.size(prompt).alias("n")), cut)
 
 
 def sft_rows(rows: DataFrame, encode: Callable[[Column], Column], max_len: int = 512) -> DataFrame:
@@ -68,12 +81,14 @@ def dpo_reason(rows: DataFrame) -> DataFrame:
 def dpo_side(prompt: Column, answer: Column, max_len: int) -> Column:
     """P2. struct(ids, mask) of a side: cut on the left to max_len; the mask, over shifted places, is 1 from the answer's
     first id on."""
-    full = F.concat(prompt, answer)
-    cut = F.greatest(F.lit(0), F.size(full) - max_len)
-    ids = F.slice(full, cut + 1, F.least(F.size(full), F.lit(max_len)))
-    p = F.greatest(F.lit(0), F.least(F.size(prompt) - cut, F.size(ids)) - 1)
-    places = F.slice(ids, F.lit(2), F.greatest(F.lit(0), F.size(ids) - 1))
-    return F.struct(ids.alias("ids"), F.transform(places, lambda x, i: (i >= p).cast("float")).alias("mask"))
+
+    def side(both: Column) -> Column:
+        p = F.greatest(F.lit(0), F.least(both["p"], F.size(both["ids"])) - 1)
+        places = F.slice(both["ids"], F.lit(2), F.greatest(F.lit(0), F.size(both["ids"]) - 1))
+        return F.struct(both["ids"].alias("ids"), let(p, lambda p: F.transform(places, lambda x, i: (i >= p).cast("float"))).alias("mask"))
+
+    ids = F.struct(prompt.alias("p"), answer.alias("a"))
+    return let(let(ids, lambda x: _cut(x["p"], F.concat(x["p"], x["a"]), max_len)), side)
 
 
 def last_answer(messages: Column) -> Column:
@@ -100,14 +115,27 @@ def long_form(rows: DataFrame, least: int = 150) -> DataFrame:
     return rows.where(F.length("output") >= least)
 
 
-def expand_templates(bases: DataFrame, templates: DataFrame, n: int = 28, seed: int = 42) -> DataFrame:
-    """S8, D14. (instruction, variant): each base under each template (``{}`` stands for it), distinct, n by draw. Both
-    tables are configuration of a few hundred rows."""
-    met = bases.crossJoin(templates).select("instruction", F.replace(F.col("template"), F.lit("{}"), F.col("instruction")).alias("variant")).distinct()
-    from pyspark.sql import Window
-
+def expand_templates(bases: DataFrame, templates: DataFrame, inserts: DataFrame | None = None, extras: DataFrame | None = None, n: int = 25, most: int = 28, seed: int = 42) -> DataFrame:
+    """S8, D14. (instruction, variant) of ``bases`` (instruction, and output if the answer may stand in a template too). Each
+    template (column template) with ``{q}`` for a base and ``{words}`` for an insert (column words, a comma after it): n of
+    the distinct ones by draw. Then templates of ``extras`` (template, rank) in order, up to ``most``. No variant equals its
+    base. All tables but ``bases`` are configuration of some dozen rows, which their count checks."""
+    put = lambda t, q, w: F.replace(F.replace(t, F.lit("{q}"), q), F.lit("{words}"), w)
+    for table in (templates, inserts, extras):
+        if table is not None and table.count() > 10_000:
+            raise ValueError("templates are configuration; this many are data")
+    said = F.array(*[F.col(c) for c in ("instruction", "output") if c in bases.columns])
+    words = F.when(F.col("words") != "", F.concat("words", F.lit("，"))).otherwise(F.lit(""))
+    form = templates.crossJoin(F.broadcast(inserts.select("words"))) if inserts is not None else templates.withColumn("words", F.lit(""))
+    met = bases.select("instruction", F.explode(said).alias("q")).crossJoin(F.broadcast(form)).select("instruction", put(F.col("template"), F.col("q"), words).alias("variant")).where("variant <> instruction")
     order = Window.partitionBy("instruction").orderBy(uniform(seed, F.col("variant")), "variant")
-    return met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    drawn = met.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    if extras is None:
+        return drawn
+    more = bases.select("instruction").distinct().crossJoin(F.broadcast(extras.select("template", "rank"))).select("instruction", put(F.col("template"), F.col("instruction"), F.lit("")).alias("variant"), "rank").where("variant <> instruction")
+    every = drawn.withColumn("rank", F.lit(-1)).unionByName(more.withColumn("rank", F.col("rank").cast("int"))).groupBy("instruction", "variant").agg(F.min("rank").alias("rank"))
+    place = Window.partitionBy("instruction").orderBy("rank", "variant")
+    return every.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most).select("instruction", "variant")
 
 
 def distill(rows: DataFrame, ask: Callable[[str], str], column: str = "prompt") -> DataFrame:

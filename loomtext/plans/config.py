@@ -1,102 +1,69 @@
-"""Settings in YAML or JSON files: one file extends another, and known fields are checked."""
+"""Settings of the corpus plans from a JSON or YAML file; one file may extend another."""
 
 from __future__ import annotations
 
 import json
-import os
-from types import SimpleNamespace
-
-# Section, field, kind, least, most; - is no bound.
-KNOWN = """
-model d_model int 64 -
-model num_layers int 1 256
-model num_heads int 1 -
-model num_kv_heads int 1 -
-model d_ff int 64 -
-model max_seq_len int 32 -
-model vocab_size int 256 -
-model dropout float 0 1
-model tie_weights bool - -
-model use_flash_attn bool - -
-model use_gradient_checkpointing bool - -
-training epochs int 1 1000
-training batch_size int 1 -
-training accumulate_grad int 1 -
-training clip_grad float 0 -
-training weight_decay float - -
-training seed int - -
-training max_train_chars int 0 -
-lr lr float >0 -
-lr warmup_ratio float 0 1
-lr min_lr_ratio float 0 1
-advanced z_loss_weight float 0 -
-advanced bf16 bool - -
-data data_dir str 1 -
-data tokenizer_path str 1 -
-data checkpoint_dir str 1 -
-"""
-KINDS = {"int": int, "float": float, "bool": bool, "str": str}
-
-
-class ConfigError(ValueError):
-    """Fields of a wrong kind or out of bounds, all of them named."""
-
-
-def merged(under: dict, over: dict) -> dict:
-    """``under`` with the fields of ``over``; sections merge field by field."""
-    both = {k: merged(v, over[k]) for k, v in under.items() if isinstance(v, dict) and isinstance(over.get(k), dict)}
-    return under | over | both
-
-
-def read(path: str) -> dict:
-    """A file's settings over those of the file that it names in ``extends``, relative to itself."""
-    with open(path, encoding="utf-8") as f:
-        if path.endswith(".json"):
-            own = json.load(f)
-        else:
-            import yaml
-
-            own = yaml.safe_load(f)
-    own = own or {}
-    parent = own.pop("extends", None)
-    return merged(read(os.path.join(os.path.dirname(os.path.abspath(path)), parent)), own) if parent else own
-
-
-def check(settings: dict) -> None:
-    """Known fields that are there have their kind (a bool passes as an int, an int not as a float) and bounds; strings
-    are bounded by length."""
-    wrong = []
-    for line in KNOWN.split("\n"):
-        if not line:
-            continue
-        section, field, kind, least, most = line.split(" ")
-        part = settings.get(section)
-        if not isinstance(part, dict) or field not in part:
-            continue
-        value = part[field]
-        if not isinstance(value, KINDS[kind]):
-            wrong.append(f"{section}.{field}: {kind} wanted, {value!r} found")
-            continue
-        size = len(value) if kind == "str" else value
-        low = least != "-" and (size <= float(least[1:]) if least[0] == ">" else size < float(least))
-        if low or (most != "-" and size > float(most)):
-            wrong.append(f"{section}.{field}: {value!r} is out of bounds")
-    if wrong:
-        raise ConfigError("; ".join(wrong))
+from dataclasses import MISSING, dataclass, field, fields
+from pathlib import Path
+
+
+class SettingsError(ValueError):
+    """What is wrong with a settings file, every fault named."""
+
+
+def number(low: float, high: float = float("inf")):
+    return lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and low <= v <= high
+
 
+def whole(low: int):
+    return lambda v: isinstance(v, int) and not isinstance(v, bool) and v >= low
 
-def spread(value):
-    """Sections as attributes."""
-    return SimpleNamespace(**{k: spread(v) for k, v in value.items()}) if isinstance(value, dict) else value
 
+def setting(default, fits):
+    return field(default=default, metadata={"fits": fits})
 
-def load(path: str) -> SimpleNamespace:
-    """Settings read, checked, and as attributes."""
-    settings = read(path)
-    check(settings)
-    return spread(settings)
 
+@dataclass(frozen=True)
+class Settings:
+    """What ``plans.corpus`` can be told."""
 
-def resolve(root: str, path: str) -> str:
-    """A relative path under ``root``; empty and absolute ones stay."""
-    return path if not path or os.path.isabs(path) else os.path.normpath(os.path.join(root, path))
+    exact_mode: str = setting("exact", lambda v: v in ("exact", "prefix"))
+    prefix_len: int = setting(100, whole(1))
+    simhash_threshold: int = setting(3, whole(0))
+    skip_exact_dedup: bool = setting(False, lambda v: isinstance(v, bool))
+    skip_clean: bool = setting(False, lambda v: isinstance(v, bool))
+    skip_simhash: bool = setting(False, lambda v: isinstance(v, bool))
+    cross_dedup: bool = setting(False, lambda v: isinstance(v, bool))
+    variant: str = setting("nano", lambda v: v in ("nano", "lite", "pro"))
+    max_chars: float | None = setting(None, lambda v: v is None or number(1)(v))
+    sources: list[str] | None = setting(None, lambda v: v is None or isinstance(v, list) and all(isinstance(x, str) and x for x in v))
+
+
+def read(path: str | Path, seen: tuple[Path, ...] = ()) -> dict:
+    """The fields of a file, over those of the file that its ``extends`` names (relative to it)."""
+    here = Path(path).resolve()
+    if here in seen:
+        raise SettingsError(f"{here} extends itself")
+    text = here.read_text(encoding="utf-8")
+    if here.suffix == ".json":
+        own = json.loads(text)
+    else:
+        import yaml
+
+        own = yaml.safe_load(text) or {}
+    if not isinstance(own, dict):
+        raise SettingsError(f"{here} holds no fields")
+    base = own.pop("extends", None)
+    return (read(here.parent / base, (*seen, here)) if base else {}) | own
+
+
+def load(path: str | Path) -> Settings:
+    """The settings of a file, checked: no unknown field, every value fit for its field."""
+    given = read(path)
+    known = {f.name: f for f in fields(Settings)}
+    wrong = [f"unknown: {k}" for k in given if k not in known]
+    wrong += [f"{k} can't be {v!r}" for k, v in given.items() if k in known and not known[k].metadata["fits"](v)]
+    if wrong:
+        raise SettingsError("; ".join(sorted(wrong)))
+    assert all(f.default is not MISSING for f in known.values())
+    return Settings(**given)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.operators import clean, dedup, mix, qa
+from loomtext.plans.config import Settings, load
 from loomtext.sources import readers, writers
 
+# Sources of a mix, in its order; the options below keep the names and defaults that users know.
 SOURCES = ("edu", "news", "wiki", "baike", "qa")
 # Character shares of the sources by variant.
 MIXES = {"nano": (0.55, 0.05, 0.15, 0.10, 0.15), "lite": (0.35, 0.20, 0.20, 0.15, 0.10), "pro": (0.35, 0.20, 0.20, 0.15, 0.10)}
@@ -59,15 +62,18 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--format", choices=sorted(readers.EXTRACTORS))
-    p.add_argument("--variant", choices=sorted(MIXES), default="nano")
+    p.add_argument("--config", help="settings file; options given here go over it")
+    p.add_argument("--variant", choices=sorted(MIXES))
     p.add_argument("--max_chars", type=float)
-    p.add_argument("--exact_mode", choices=["exact", "prefix"], default="exact")
-    p.add_argument("--prefix_len", type=int, default=100)
-    p.add_argument("--simhash_threshold", type=int, default=3)
+    p.add_argument("--exact_mode", choices=["exact", "prefix"])
+    p.add_argument("--prefix_len", type=int)
+    p.add_argument("--simhash_threshold", type=int)
     p.add_argument("--sources", nargs="*")
     for flag in ("skip_exact_dedup", "skip_clean", "skip_simhash", "cross_dedup"):
-        p.add_argument(f"--{flag}", action="store_true")
+        p.add_argument(f"--{flag}", action="store_true", default=None)
     a = p.parse_args(args)
+    settings = load(a.config) if a.config else Settings()
+    c = replace(settings, **{f.name: v for f in fields(Settings) if (v := getattr(a, f.name)) is not None})
     spark = SparkSession.builder.getOrCreate()
     if a.job == "extract":
         if a.format == "edu":
@@ -76,10 +82,10 @@ def main(args: list[str] | None = None) -> None:
             rows = readers.json_lines(readers.archive_lines(spark, a.input), readers.RECORDS[a.format]).where("valid")
         writers.write_lines(readers.EXTRACTORS[a.format](rows), a.output)
     elif a.job == "pipeline":
-        rows = pipeline(spark.read.parquet(a.input), a.skip_exact_dedup, a.skip_clean, a.skip_simhash, a.cross_dedup, a.exact_mode, a.prefix_len, a.simhash_threshold, a.sources)
+        rows = pipeline(spark.read.parquet(a.input), c.skip_exact_dedup, c.skip_clean, c.skip_simhash, c.cross_dedup, c.exact_mode, c.prefix_len, c.simhash_threshold, c.sources)
         rows.write.mode("overwrite").partitionBy("source").parquet(a.output)
     else:
-        writers.write_splits(build(spark.read.parquet(a.input), a.variant, a.max_chars), a.output)
+        writers.write_splits(build(spark.read.parquet(a.input), c.variant, c.max_chars), a.output)
 
 
 if __name__ == "__main__":

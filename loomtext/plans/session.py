@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,18 +23,40 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as written to the shared checkpoint folder; a local one where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-"))
-    return df.checkpoint()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the folder that driver and executors share."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local
+    master, as in tests; on a cluster that is an error, since executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="loomtext-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}"
+    return base.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/loomtext/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` as a table written to the shared folder: lineage ends there, later reads take the columns that they need, and
+    a lost executor costs no recomputation. The path is in the attribute ``kept_at``."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a path in the shared folder that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is scanned in fewer tasks than there are cores, dealt over the cores; larger ones as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import wrap
+
 
 def write_lines(df: DataFrame, path: str, column: str = "text") -> None:
     """K1. A text line per row."""
@@ -14,8 +16,8 @@ def write_lines(df: DataFrame, path: str, column: str = "text") -> None:
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    """K2. Parquet by split; what an earlier run left goes with the overwrite."""
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    """K2. The wrapped texts, a line each, in a folder for each split; what an earlier run left goes with the overwrite."""
+    df.select("split", wrap(F.col("text")).alias("value")).write.mode("overwrite").partitionBy("split").text(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

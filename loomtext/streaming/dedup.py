@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ def stream_clean_dedup(spark: SparkSession, path: str) -> DataFrame:
     """All files under ``path`` through the stream, to a table in the shared folder, until none is left."""
     from loomtext.plans.session import shared_path
 
-    out = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+    out = shared_path(spark, "stream")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():

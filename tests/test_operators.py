@@ -80,6 +80,18 @@ def test_filter_qa(spark):
     assert [r.doc_id for r in qa.filter_qa(d, "doc_id").collect()] == [0]
 
 
+def test_bands_find_every_near_pair(spark):
+    rnd = random.Random(9)
+    values = []
+    for _ in range(150):
+        v = rnd.getrandbits(64)
+        values += [v, *(v ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(1, 5))) for _ in range(3))]
+    signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
+    want = {(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
+    got = [tuple(r) for r in dedup.near_pairs(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_char_weights_golden(spark):
     sizes = spark.createDataFrame([("wiki", 123.0), ("baike", 145.0), ("news", 752.0), ("qa", 192.0)], "source string, mean_chars double")
     shares = spark.createDataFrame([("wiki", 0.30), ("baike", 0.12), ("news", 0.43), ("qa", 0.15), ("gone", 0.1)], "source string, ratio double")
@@ -88,7 +100,8 @@ def test_char_weights_golden(spark):
 
 
 def test_splits_disjoint_and_complete(spark):
-    d = docs(spark, [f"t{k}" for k in range(500)] + [" "])
+    d = docs(spark, [f" t{k}\u3000" for k in range(500)] + [" ", "\t\n", "\u3000", ""])
+    assert all(r.text == f"t{r.doc_id}" for r in mix.assign_splits(d).collect())
     got = mix.assign_splits(d).groupBy("split").count().collect()
     assert sum(r["count"] for r in got) == 500
     assert {r["split"] for r in got} == {"train", "valid", "test"}
@@ -143,6 +156,37 @@ def test_collate(spark):
     assert got == [([1, 2, 3, 4], [2, 3, 4, 5]), ([10, 20, 30, 0], [20, 30, 0, 0])]
 
 
+def bpe_restated(counts, size):
+    words = {w: [b + 13 for b in w.encode()] for w in counts}
+    merges = []
+    while 269 + len(merges) < size:
+        pairs = {}
+        for w, s in words.items():
+            for p in zip(s, s[1:]):
+                pairs[p] = pairs.get(p, 0) + counts[w]
+        best = min(pairs, key=lambda p: (-pairs[p], p), default=None)
+        if best is None or pairs[best] < 2:
+            break
+        new = 269 + len(merges)
+        merges.append(best)
+        for w, s in words.items():
+            out = []
+            for x in s:
+                if out and (out[-1], x) == best:
+                    out[-1] = new
+                else:
+                    out.append(x)
+            words[w] = out
+    return merges
+
+
+def test_training_restated():
+    rnd = random.Random(3)
+    for _ in range(30):
+        counts = {"".join(rnd.choice("aab é") for _ in range(rnd.randrange(1, 14))): rnd.randrange(1, 5) for _ in range(8)}
+        assert tokenizer.train_on(counts, 300).merges == bpe_restated(counts, 300)
+
+
 def test_tokenizer(spark):
     d = docs(spark, ["你好世界 hello hello world"] * 3 + ["hello 中文，测试"])
     t = tokenizer.train(d, 300)
@@ -176,6 +220,7 @@ def test_numbers(spark):
     assert rows.select(N.repetition_penalty(F.col("x"), F.col("h"), 2.0)).first()[0] == [2.0, 2.5, 3.0, 1.0]
     assert rows.select(N.top_k(F.col("x"), 2)).first()[0] == [None, 5.0, 3.0, None]
     assert rows.select(N.top_p(F.col("x"), 0.5)).first()[0] == [None, 5.0, None, None]
+    assert rows.select(N.dpo_loss(F.lit(0.0), F.lit(17998.0), F.lit(0.0), F.lit(0.0))).first()[0] == pytest.approx(1799.8)
     assert math.isclose(rows.select(N.dpo_loss(F.lit(-1.0), F.lit(-2.0), F.lit(-1.0), F.lit(-2.0))).first()[0], math.log(2))
 
 

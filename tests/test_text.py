@@ -69,11 +69,13 @@ def test_chatml(spark):
     rows = spark.createDataFrame([([("user", "你好"), ("assistant", "x")],)], "m array<struct<role:string,content:string>>")
     one = rows.select(T.chatml(F.col("m")), T.chatml(F.col("m"), prompt=True)).first()
     assert one[0] == "<|im_start|>user\n你好<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n"
+    lost = spark.createDataFrame([([("user", None), (None, "x")],)], "m array<struct<role:string,content:string>>")
+    assert lost.select(T.chatml(F.col("m"))).first()[0] == "<|im_start|>user\n<|im_end|>\n<|im_start|>\nx<|im_end|>\n"
     assert one[1] == one[0] + "<|im_start|>assistant\n"
 
 
 def test_scores_and_prompts(spark):
-    assert apply(spark, T.parse_score, ["4", "4/5", "no", "0", "Score: 3."]) == [4, None, None, None, 3]
+    assert apply(spark, T.parse_score, ["4", "4/5", "no", "0", "Score: 3.", "４", "٣ of ten", "4²", "05", None]) == [4, None, None, None, 3, 4, 3, None, 5, None]
     rows = spark.createDataFrame([("1+1=?", ["1", None, "3"])], "q string, o array<string>")
     assert rows.select(T.choice_prompt(F.col("q"), F.col("o"))).first()[0] == "1+1=?\nA. 1\nB. 3\n答案："
 
