@@ -11,6 +11,7 @@ from loomtext.functions import numeric as N
 from loomtext.functions import regexes as R
 from loomtext.functions import text as T
 from loomtext.operators import chunk, clean, dedup, evaluate, mix, qa, tokenizer, tuning
+from loomtext.plans.session import spread
 from loomtext.sources import readers
 from loomtext.streaming.dedup import stream_clean_dedup
 
@@ -20,7 +21,7 @@ SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +68,11 @@ def digest(ids) -> F.Column:
 
 BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x' || x)::int + 13)"
 
+
+def stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
 # --- cleaning --------------------------------------------------------------------------------------------------------
 
 
@@ -90,9 +96,9 @@ def clean_stats_by_source(spark, d):
     return clean.clean_stats(clean.clean(docs_of(spark, d)), "source")
 
 
-@query("clean_zh_ratio", "SELECT doc_id, length(c) AS n, zh, zh < 0.15 * length(c) AS dropped FROM (SELECT doc_id, c, len(regexp_extract_all(c, '[\\x{4e00}-\\x{9fff}]')) AS zh FROM (SELECT doc_id, " + bare("repeat('中文', (doc_id % 90)::int) || substr(text, 1, 500)") + " AS c FROM documents))")
+@query("clean_zh_ratio", "SELECT doc_id, length(c) AS n, zh, zh < 0.15 * length(c) AS dropped FROM (SELECT doc_id, c, len(regexp_extract_all(c, '[\\x{4e00}-\\x{9fff}]')) AS zh FROM (SELECT doc_id, " + bare("repeat('中文', (length(text) * (doc_id % 5) // 20)::int) || text") + " AS c FROM documents))")
 def clean_zh_ratio(spark, d):
-    mixed = docs_of(spark, d).withColumn("text", F.concat(F.expr("repeat('中文', cast(doc_id % 90 as int))"), F.substring("text", 1, 500)))
+    mixed = docs_of(spark, d).withColumn("text", F.expr("concat(repeat('中文', cast(length(text) * (doc_id % 5) div 20 as int)), text)"))
     c = mixed.select("doc_id", T.cleaned(F.col("text")).alias("c"))
     zh = F.regexp_count("c", F.lit(R.ZH))
     return c.select("doc_id", F.length("c").alias("n"), zh.alias("zh"), (zh < 0.15 * F.length("c")).alias("dropped"))
@@ -103,9 +109,9 @@ def html_strip_pages(spark, d):
     return table(spark, d, "pages").select("page_id", T.cleaned(F.col("html")).alias("clean"))
 
 
-@query("traditional_to_simplified", "SELECT doc_id, translate(substr(text, 1, 100) || '漢語書寫', '漢語書寫', '汉语书写') AS text FROM documents")
+@query("traditional_to_simplified", "SELECT doc_id, translate(text || '漢語書寫', '漢語書寫', '汉语书写') AS text FROM documents")
 def traditional_to_simplified(spark, d):
-    return docs_of(spark, d).select("doc_id", T.traditional(F.concat(F.substring("text", 1, 100), F.lit("漢語書寫")), "漢語書寫", "汉语书写").alias("text"))
+    return docs_of(spark, d).select("doc_id", T.traditional(F.concat(F.col("text"), F.lit("漢語書寫")), "漢語書寫", "汉语书写").alias("text"))
 
 
 # One hit or near miss per pattern.
@@ -114,11 +120,11 @@ WIKI_LINES = ["镇区人口有", "涵盖总面积为", "美国2000年人口普
 
 
 def _injected(lines: list[str]) -> F.Column:
-    return F.concat(F.substring("text", 1, 40), F.element_at(F.array(*map(F.lit, lines)), (F.col("doc_id") % len(lines) + 1).cast("int")))
+    return F.concat(F.col("text"), F.element_at(F.array(*map(F.lit, lines)), (F.col("doc_id") % len(lines) + 1).cast("int")))
 
 
 def _injected_sql(lines: list[str]) -> str:
-    return f"substr(text, 1, 40) || ([{', '.join(repr(x) for x in lines)}])[(doc_id % {len(lines)} + 1)::int]"
+    return f"text || ([{', '.join(repr(x) for x in lines)}])[(doc_id % {len(lines)} + 1)::int]"
 
 
 def _hit_sql(lines: list[str], patterns: list[str]) -> str:
@@ -135,22 +141,34 @@ def wiki_junk(spark, d):
     return docs_of(spark, d).select("doc_id", T.is_wiki_junk(_injected(WIKI_LINES)).alias("hit"))
 
 
-@query("clean_prefix")
+def _letters_sql(x: str) -> str:
+    """clean_prefix over the characters one by one, since RE2 has no lookaround."""
+    start = f"c[i] BETWEEN 'A' AND 'F' AND c[i + 1] = ':' AND (i = 1 OR NOT regexp_matches(c[i - 1], '[a-zA-Z]'))"
+    near, far = (f"coalesce(regexp_matches(c[i + {k}], '[\\x{{4e00}}-\\x{{9fff}}A-Z]'), false)" for k in (2, 3))
+    width = f"CASE WHEN {start} THEN CASE WHEN {near} THEN 2 WHEN regexp_matches(c[i + 2], '{WS}') AND {far} THEN 3 ELSE 0 END ELSE 0 END"
+    kept = f"list_filter(c, lambda x, i: {{0}}[i] = 0 AND NOT (i > 1 AND {{0}}[i - 1] > 1) AND NOT (i > 2 AND {{0}}[i - 2] > 2))".format("w")
+    out = f"(SELECT array_to_string({kept}, '') FROM (SELECT c, list_transform(range(1, len(c) + 1), lambda i: {width}) AS w FROM (SELECT regexp_extract_all({x}, '(?s).') AS c)))"
+    return stripped(f"regexp_replace({out}, ' {{2,}}', ' ', 'g')")
+
+
+PREFIXED = "'A: 中文 B:Text  ' || text || ' C: B: D:中 xE: F:y'"
+
+
+@query("clean_prefix", f"SELECT doc_id, {_letters_sql(PREFIXED)} AS output FROM documents")
 def clean_prefix(spark, d):
-    marked = F.concat(F.lit("A: 中文 B:Text  "), F.substring("text", 1, 200))
-    return docs_of(spark, d).select("doc_id", T.clean_prefix(marked).alias("output"))
+    return docs_of(spark, d).select("doc_id", T.clean_prefix(F.expr(PREFIXED)).alias("output"))
 
 
 # the asterisks of the texts are taken out, since RE2 has no lookaround for single ones; unit tests cover these
 _T = "replace(text, '*', '')"
-MARKED = f"'## ' || substr({_T}, 1, 20) || '\n- **b' || substr({_T}, 21, 20) || '**\n\n\n\n1. ' || substr({_T}, 41, 20)"
+MARKED = f"'## ' || {_T} || '\n- **bold** and *slanted* x\n\n\n\n1. ' || lang || '\n# B: Title'"
+_MARKS = [("bold", "\\*\\*(.+?)\\*\\*", "\\1"), ("italic", "\\*(.+?)\\*", "\\1"), ("heading", f"(?m)^#{{1,6}}{WS}+", ""), ("list", f"(?m)^(?:\\p{{Nd}}+[.)]{WS}*|[-*]{WS}+)", "")]
 
 
 def _md(x: str) -> str:
-    x = f"regexp_replace({x}, '\\*\\*(.+?)\\*\\*', '\\1', 'g')"
-    x = f"regexp_replace({x}, '(?m)^#{{1,6}}{WS}+', '', 'g')"
-    x = f"regexp_replace({x}, '(?m)^(?:\\p{{Nd}}+[.)]{WS}*|[-*]{WS}+)', '', 'g')"
-    return f"regexp_replace(regexp_replace({x}, '\\n{{3,}}', '\n\n', 'g'), '^{WS}+|{WS}+$', '', 'g')"
+    for _, pattern, to in _MARKS:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return stripped(f"regexp_replace({x}, '\n{{3,}}', '\n\n', 'g')")
 
 
 @query("clean_markdown", f"SELECT doc_id, {_md('x')} AS output FROM (SELECT doc_id, {MARKED} AS x FROM documents)")
@@ -158,15 +176,26 @@ def clean_markdown(spark, d):
     return docs_of(spark, d).select("doc_id", T.clean_markdown(F.expr(MARKED.replace("\n", "\\n")))[0].alias("output"))
 
 
-@query("clean_answers")
+def _answers_sql() -> str:
+    steps, flags = f"(SELECT doc_id, x, {_letters_sql('x')} AS x0 FROM (SELECT doc_id, CASE WHEN doc_id % 10 > 0 THEN {MARKED} END AS x FROM documents))", ["CASE WHEN x0 <> x THEN 'prefix' END"]
+    for k, (name, pattern, to) in enumerate(_MARKS):
+        steps = f"(SELECT *, regexp_replace(x{k}, '{pattern}', '{to}', 'g') AS x{k + 1} FROM {steps})"
+        flags.append(f"CASE WHEN x{k + 1} <> x{k} THEN '{name}' END")
+    last = stripped(f"regexp_replace(x{len(_MARKS)}, '\n{{3,}}', '\n\n', 'g')")
+    return f"SELECT doc_id, CASE WHEN x IS NOT NULL THEN {last} END AS output, concat_ws(',', {', '.join(flags)}) AS changed FROM {steps}"
+
+
+@query("clean_answers", _answers_sql())
 def clean_answers(spark, d):
     rows = docs_of(spark, d).select("doc_id", F.when(F.col("doc_id") % 10 > 0, F.expr(MARKED.replace("\n", "\\n"))).alias("output"))
     return clean.clean_answers(rows).select("doc_id", "output", F.array_join("changed", ",").alias("changed"))
 
 
-@query("score_parse", "SELECT doc_id, CASE WHEN regexp_matches(x, '^0*[1-5]$') THEN x::int END AS score, CASE WHEN x::bigint BETWEEN 1 AND 2 THEN 0 WHEN x::bigint = 3 THEN 1 WHEN x::bigint BETWEEN 4 AND 5 THEN 2 END AS label FROM (SELECT doc_id, (doc_id % 8)::varchar || CASE WHEN doc_id % 3 = 0 THEN '5' ELSE '' END AS x FROM documents)")
+@query("score_parse", "SELECT doc_id, CASE WHEN ok THEN k::int END AS score, CASE WHEN ok THEN CASE WHEN k <= 2 THEN 0 WHEN k = 3 THEN 1 ELSE 2 END END AS label FROM (SELECT doc_id, k, k BETWEEN 1 AND 5 AND (doc_id % 3 = 0 OR doc_id % 11 > 0) AS ok FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 8 * 10 + 5 ELSE doc_id % 8 END AS k FROM documents))")
 def score_parse(spark, d):
-    reply = F.concat(F.lit("Score: "), (F.col("doc_id") % 8).cast("string"), F.when(F.col("doc_id") % 3 == 0, "/5").otherwise("."))
+    wide = F.expr("substring('０１２３４５６７', cast(doc_id % 8 as int) + 1, 1)")
+    digit = F.when(F.col("doc_id") % 5 == 0, wide).otherwise((F.col("doc_id") % 8).cast("string"))
+    reply = F.concat(F.lit("Score: "), digit, F.when(F.col("doc_id") % 3 == 0, "/5").when(F.col("doc_id") % 11 == 0, "²").otherwise("."))
     s = T.parse_score(reply)
     return docs_of(spark, d).select("doc_id", s.alias("score"), F.when(s.isNotNull(), T.map_score(s)).alias("label"))
 
@@ -176,18 +205,23 @@ def label_lines(spark, d):
     return docs_of(spark, d).join(table(spark, d, "labels"), "doc_id").select("doc_id", T.label_line(F.col("quality"), F.col("text")).alias("line"))
 
 
-@query("variant_lines")
+_VARIANT = f"list_filter(list_transform(string_split({stripped('numbered')}, chr(10)), lambda x: {stripped('regexp_replace(' + stripped('x') + f", '^[\\p{{Nd}}{R.re2(R.WS_BODY)}.\\-、)）*#]+{WS}*', '')")}), lambda x: x <> 'seed' AND length(x) >= 5)"
+
+
+@query("variant_lines", f"SELECT doc_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i)[:5], '|') AS variants FROM (SELECT doc_id, {_VARIANT} AS v FROM (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: i || '. ' || x), chr(10)) AS numbered FROM documents))")
 def variant_lines(spark, d):
     numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
     return docs_of(spark, d).select("doc_id", F.array_join(T.variant_lines(numbered, F.lit("seed"), 5), "|").alias("variants"))
 
 
-@query("follow_ups", "SELECT conv_id, count(*) FILTER (role = 'user') AS n_turns FROM conversations GROUP BY conv_id")
+@query("follow_ups", "SELECT conv_id, count(*) FILTER (role = 'user') AS n_turns, coalesce(string_agg(text || '>' || turn, '|' ORDER BY turn) FILTER (role = 'user'), '') AS turns FROM conversations GROUP BY conv_id")
 def follow_ups(spark, d):
-    turns = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("text").alias("user"), F.col("text").alias("assistant"))).alias("f"))
-    every = table(spark, d, "conversations").select("conv_id").distinct().join(turns, "conv_id", "left")
-    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.coalesce("f", F.array().cast(T.FOLLOW_UPS)).alias("follow_ups"))), F.lit("\n```"))
-    return every.select("conv_id", F.size(T.follow_ups(reply)).cast("long").alias("n_turns"))
+    own = F.struct("turn", F.col("text").alias("user"), F.col("turn").cast("string").alias("assistant"))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("role") == "user", own))).alias("f"))
+    bare = F.transform("f", lambda t: F.struct(t["user"].alias("user"), t["assistant"].alias("assistant")))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(bare.alias("follow_ups"))), F.lit("\n```"))
+    got = turns.select("conv_id", T.follow_ups(reply).alias("t"))
+    return got.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda x: F.concat(x["user"], F.lit(">"), x["assistant"])), "|").alias("turns"))
 
 
 # --- extraction ------------------------------------------------------------------------------------------------------
@@ -202,21 +236,24 @@ def _part(x: str) -> str:
     return f"nullif(regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g'), '')"
 
 
-@query("extract_news", f"SELECT doc_id, t AS text FROM (SELECT doc_id, concat_ws('。', {_part('substr(text, 1, 15)')}, {_part('source')}, {_part('substr(text, 16, 30)')}) AS t FROM documents) WHERE length(t) > 30")
+_FIRST = "split_part(text, chr(10), 1)"
+
+
+@query("extract_news", f"SELECT doc_id, t AS text FROM (SELECT doc_id, concat_ws('。', {_part(_FIRST)}, {_part('source')}, {_part('text')}) AS t FROM documents) WHERE length(t) > 30")
 def extract_news(spark, d):
-    r = _records(spark, d, {"title": "substr(text, 1, 15)", "desc": "source", "content": "substr(text, 16, 30)"}, readers.RECORDS["news"])
+    r = _records(spark, d, {"title": _FIRST, "desc": "source", "content": "text"}, readers.RECORDS["news"])
     return readers.extract_news(r).select("doc_id", "text")
 
 
-@query("extract_baike", f"SELECT doc_id, t AS text FROM (SELECT doc_id, replace(concat_ws('。', {_part('source')}, {_part('lang')}, {_part('substr(text, 1, 300)')}), '。。', '。') AS t FROM documents) WHERE length(t) > 20")
+@query("extract_baike", f"SELECT doc_id, t AS text FROM (SELECT doc_id, replace(concat_ws('。', {_part('source')}, {_part('lang')} || '。', {_part('text')}), '。。', '。') AS t FROM documents) WHERE length(t) > 20")
 def extract_baike(spark, d):
-    r = _records(spark, d, {"title": "source", "summary": "lang || '。'", "text": "substr(text, 1, 300)"}, readers.RECORDS["baike"])
+    r = _records(spark, d, {"title": "source", "summary": "lang || '。'", "text": "text"}, readers.RECORDS["baike"])
     return readers.extract_baike(r).select("doc_id", "text")
 
 
-@query("extract_qa", "SELECT doc_id, '问题：' || substr(text, 1, 20) || ' 回答：' || substr(text, 21, 10 + (doc_id % 20)::int) AS text FROM documents WHERE NOT (doc_id % 2 = 0 AND length(substr(text, 21, 10 + (doc_id % 20)::int)) < 20) AND length(substr(text, 1, 20)) > 3 AND length(substr(text, 21, 10 + (doc_id % 20)::int)) > 10")
+@query("extract_qa", f"SELECT doc_id, '问题：' || {_FIRST} || ' 回答：' || text AS text FROM documents WHERE NOT (doc_id % 2 = 0 AND length(text) < 20) AND length({_FIRST}) > 3 AND length(text) > 10")
 def extract_qa(spark, d):
-    r = _records(spark, d, {"qid": "cast(doc_id as string)", "title": "substr(text, 1, 20)", "content": "substr(text, 21, 10 + cast(doc_id % 20 as int))", "star": "cast(doc_id % 2 as int)"}, readers.RECORDS["qa"])
+    r = _records(spark, d, {"qid": "cast(doc_id as string)", "title": _FIRST, "content": "text", "star": "cast(doc_id % 2 as int)"}, readers.RECORDS["qa"])
     return readers.extract_qa(r).select("doc_id", "text")
 
 
@@ -283,8 +320,8 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(dedup.fingerprints(docs_of(spark, d)))
 
 
-def _greedy(rounds: int = 10) -> str:
-    out = [FP, PAIRS, "f AS MATERIALIZED (SELECT fp, min(doc_id) AS pos FROM fp GROUP BY fp)", "e AS MATERIALIZED (SELECT CASE WHEN a.pos < b.pos THEN fp_a ELSE fp_b END AS early, CASE WHEN a.pos < b.pos THEN fp_b ELSE fp_a END AS late FROM p JOIN f a ON a.fp = fp_a JOIN f b ON b.fp = fp_b)", "u0 AS (SELECT fp FROM f)"]
+def _greedy(rounds: int = 10, given: str = "f AS MATERIALIZED (SELECT fp, min(doc_id) AS pos FROM fp GROUP BY fp)") -> str:
+    out = [FP, PAIRS, given, "e AS MATERIALIZED (SELECT CASE WHEN a.pos < b.pos THEN fp_a ELSE fp_b END AS early, CASE WHEN a.pos < b.pos THEN fp_b ELSE fp_a END AS late FROM p JOIN f a ON a.fp = fp_a JOIN f b ON b.fp = fp_b)", "u0 AS (SELECT fp FROM f)"]
     for k in range(rounds):
         out.append(f"k{k} AS MATERIALIZED (SELECT fp FROM u{k} WHERE fp NOT IN (SELECT late FROM e WHERE early IN (SELECT fp FROM u{k})))")
         out.append(f"u{k + 1} AS MATERIALIZED (SELECT fp FROM u{k} WHERE fp NOT IN (SELECT fp FROM k{k}) AND fp NOT IN (SELECT late FROM e WHERE early IN (SELECT fp FROM k{k})))")
@@ -296,10 +333,13 @@ def dedup_simhash(spark, d):
     return dedup.dedup_simhash(docs_of(spark, d)).select("doc_id")
 
 
-@query("dedup_seeded", f"WITH {FP}, s8 AS (SELECT DISTINCT fp FROM fp WHERE source = 'src0'), r AS (SELECT fp, min(doc_id) AS doc_id FROM fp WHERE source = 'src1' GROUP BY fp), q AS MATERIALIZED (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM s8 WHERE bit_count(xor(s8.fp, r.fp)) <= 3)) SELECT doc_id FROM q a WHERE NOT EXISTS (SELECT 1 FROM q b WHERE b.doc_id < a.doc_id AND bit_count(xor(a.fp, b.fp)) <= 3)")
+_UNSEEDED = "s0 AS MATERIALIZED (SELECT DISTINCT fp FROM fp WHERE source = 'src0'), f AS MATERIALIZED (SELECT fp, min(doc_id) AS pos FROM fp r WHERE source <> 'src0' AND NOT EXISTS (SELECT 1 FROM s0 WHERE bit_count(xor(s0.fp, r.fp)) <= 3) GROUP BY fp)"
+
+
+@query("dedup_seeded", _greedy(given=_UNSEEDED))
 def dedup_seeded(spark, d):
     docs = docs_of(spark, d)
-    return dedup.dedup_simhash(docs.where("source = 'src1'"), seed=dedup.fingerprint_set(docs.where("source = 'src0'"))).select("doc_id")
+    return dedup.dedup_simhash(docs.where("source <> 'src0'"), seed=dedup.fingerprint_set(docs.where("source = 'src0'"))).select("doc_id")
 
 
 @query("cross_source_dedup", f"WITH {FP} SELECT doc_id FROM fp a WHERE source = 'src1' OR NOT EXISTS (SELECT 1 FROM fp b WHERE b.source <> 'src1' AND b.source <> a.source AND bit_count(xor(a.fp, b.fp)) <= 3)")
@@ -314,14 +354,14 @@ def label_exclude(spark, d):
 
 # --- questions and answers -------------------------------------------------------------------------------------------
 _FORMS = ["'问题：' || q || ' 回答：' || a", "'Q: ' || q || ' A: ' || a", "'问：' || q || '答：' || a", "'{\"question\": \"' || q || '\", \"answer\": \"' || a || '\"}'", "q || chr(9) || a", "q || a || ' www.example.com'"]
-_QA = "(SELECT doc_id, replace(replace(substr(text, 1, 30), chr(10), ' '), '\"', ' ') AS q, replace(replace(substr(text, 31, doc_id % 60), chr(10), ' '), '\"', ' ') || CASE WHEN doc_id % 11 = 0 THEN ' http://x.y' ELSE '' END AS a FROM documents)"
+_FLAT = "replace(replace(text, chr(10), ' '), '\"', ' ')"
+_QA = f"(SELECT doc_id, split_part({_FLAT}, '. ', 1) AS q, CASE WHEN doc_id % 7 = 0 THEN source ELSE {_FLAT} || CASE WHEN doc_id % 11 = 0 THEN ' http://x.y' ELSE '' END END AS a FROM documents)"
 _CASE = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(_FORMS)) + " END"
 
 
 def _qa_lines(spark, d):
-    spark_sql = _QA.replace("doc_id % 60)", "cast(doc_id % 60 as int))").replace("FROM documents", "FROM {docs}").replace("chr(10)", "'\\n'")
     case = _CASE.replace("chr(9)", "'\\t'").replace("{", "{{").replace("}", "}}")
-    return spark.sql(f"SELECT doc_id, {case} AS text FROM {spark_sql}", docs=docs_of(spark, d))
+    return spark.sql(f"SELECT doc_id, {case} AS text FROM {_QA.replace('FROM documents', 'FROM {docs}')}", docs=docs_of(spark, d))
 
 
 def _qa_sql() -> str:
@@ -357,12 +397,12 @@ def filter_qa_stats(spark, d):
 
 
 # --- mixing ----------------------------------------------------------------------------------------------------------
-MIX = {"src0": 0.5, "src1": 0.2, "src2": 0.2, "src3": 0.1}
-_MIX = "(VALUES " + ", ".join(f"('{k}', {v}::double)" for k, v in MIX.items()) + ") AS mix(source, ratio)"
+_MIX = "(SELECT source, (1 + ascii(right(source, 1)) % 4) / 40.0::double AS ratio FROM (SELECT DISTINCT source FROM documents)) AS mix"
 
 
-def mix_of(spark) -> DataFrame:
-    return spark.createDataFrame(list(MIX.items()), "source string, ratio double")
+def mix_of(spark, d) -> DataFrame:
+    """A share for every source of the table; one row each."""
+    return docs_of(spark, d).select("source").distinct().select("source", ((1 + F.ascii(F.right("source", F.lit(1))) % 4) / 40.0).alias("ratio"))
 
 
 @query("source_sizes", "SELECT source, count(*) AS lines, sum(length(text))::bigint AS chars, round(avg(length(text) + 1), 6) AS mean_chars FROM documents GROUP BY source")
@@ -372,28 +412,28 @@ def source_sizes(spark, d):
 
 @query("char_weights", f"WITH w AS (SELECT source, ratio / avg(length(text) + 1) AS w FROM documents JOIN {_MIX} USING (source) GROUP BY source, ratio) SELECT source, round(w / (SELECT sum(w) FROM w), 9) AS weight FROM w")
 def char_weights(spark, d):
-    return mix.char_weights(mix.source_sizes(docs_of(spark, d)), mix_of(spark)).withColumn("weight", F.round("weight", 9))
+    return mix.char_weights(mix.source_sizes(docs_of(spark, d)), mix_of(spark, d)).withColumn("weight", F.round("weight", 9))
 
 
 @query("bernoulli_sample", f"WITH r AS (SELECT source, 200000 * ratio / sum(length(text)) AS p FROM documents JOIN {_MIX} USING (source) GROUP BY source, ratio) SELECT doc_id FROM documents JOIN r USING (source) WHERE p >= 0.95 OR {u(42, 'doc_id')} < p")
 def bernoulli_sample(spark, d):
-    return mix.bernoulli(docs_of(spark, d), mix_of(spark), 200_000).select("doc_id")
+    return mix.bernoulli(docs_of(spark, d), mix_of(spark, d), 200_000).select("doc_id")
 
 
 @query("interleave_order", f"WITH o AS (SELECT source, greatest(1, floor(50 * ratio / (SELECT max(ratio) FROM {_MIX})))::bigint AS burst, row_number() OVER (ORDER BY source) AS source_no FROM {_MIX}) SELECT doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // burst)::bigint AS round, source_no, round({u(42, 'doc_id')}, 9) AS draw FROM documents JOIN o USING (source)")
 def interleave_order(spark, d):
-    return mix.interleave(docs_of(spark, d), mix_of(spark), buffer=50).select("doc_id", F.col("round").cast("long").alias("round"), F.col("source_no").cast("long").alias("source_no"), F.round("draw", 9).alias("draw"))
+    return mix.interleave(docs_of(spark, d), mix_of(spark, d), buffer=50).select("doc_id", F.col("round").cast("long").alias("round"), F.col("source_no").cast("long").alias("source_no"), F.round("draw", 9).alias("draw"))
 
 
 _SPLIT = f"CASE WHEN {u(42, 'doc_id')} < 0.9 THEN 'train' WHEN {u(42, 'doc_id')} < 0.9 + 0.05 THEN 'valid' ELSE 'test' END"
 
 
-@query("split_assign", f"SELECT doc_id, {_SPLIT} AS split FROM documents WHERE trim(text) <> ''")
+@query("split_assign", f"SELECT doc_id, {_SPLIT} AS split FROM documents WHERE {stripped('text')} <> ''")
 def split_assign(spark, d):
     return mix.assign_splits(docs_of(spark, d)).select("doc_id", "split")
 
 
-@query("split_stats", f"SELECT {_SPLIT} AS split, source, count(*) AS n, sum(length(text))::bigint AS chars FROM documents WHERE trim(text) <> '' GROUP BY ALL")
+@query("split_stats", f"SELECT {_SPLIT} AS split, source, count(*) AS n, sum(length(t))::bigint AS chars FROM (SELECT doc_id, source, {stripped('text')} AS t FROM documents) WHERE t <> '' GROUP BY ALL")
 def split_stats(spark, d):
     return mix.split_stats(mix.assign_splits(docs_of(spark, d)))
 
@@ -413,11 +453,15 @@ def max_chars_prefix(spark, d):
     return mix.max_chars(docs_of(spark, d), 100_000).select("doc_id", "text")
 
 
-@query("category_build")
+_CATEGORY = "ascii(right(source, 1)) % 3"
+_BUILT = " UNION ALL ".join(f"(SELECT key, source, '{c}' AS category FROM (SELECT doc_id AS key, source, unnest(range(1, ceil({n} / (SELECT count(*) FROM documents WHERE {_CATEGORY} = {k}))::int + 1)) AS copy FROM documents WHERE {_CATEGORY} = {k}) ORDER BY copy, {u(42, 'key')}, key LIMIT {n})" for k, (c, n) in enumerate({"A": 800, "B": 600, "C": 600}.items()))
+
+
+@query("category_build", _BUILT)
 def category_build(spark, d):
     docs = docs_of(spark, d).select(F.col("doc_id").alias("key"), "source")
-    parts = {c: docs.where(F.col("source") == s) for c, s in (("A", "src1"), ("B", "src2"), ("C", "src3"))}
-    return mix.category_build(parts, {"A": 0.4, "B": 0.3, "C": 0.3}, 200)
+    parts = {c: docs.where(F.ascii(F.right("source", F.lit(1))) % 3 == k) for k, c in enumerate("ABC")}
+    return mix.category_build(parts, {"A": 0.4, "B": 0.3, "C": 0.3}, 2000)
 
 
 # --- chunking --------------------------------------------------------------------------------------------------------
@@ -430,11 +474,18 @@ def sentence_split(spark, d):
     return docs_of(spark, d).select("doc_id", F.size(p).cast("long").alias("n"), F.md5(F.array_join(p, "|")).alias("digest"))
 
 
-@query("greedy_pack")
+# the chunks so far as one string, each but the last closed by chr(1)
+_LAST = "regexp_extract(a, '[^\\x01]*$')"
+_CUTS = "array_to_string(list_transform(range(0, (length(x) - 1) // 400 + 1), lambda k: substr(x, k * 400 + 1, 400)), chr(1)) || chr(1)"
+_FLUSH = f"CASE WHEN {_LAST} <> '' AND length({_LAST}) + length(x) > 400 THEN a || chr(1) ELSE a END"
+_FOLD = f"list_reduce({_PIECES}, lambda a, x: {_FLUSH} || CASE WHEN length(x) > 400 THEN {_CUTS} ELSE x END, '')"
+
+
+@query("greedy_pack", f"SELECT doc_id, len(p) AS n, list_max(list_transform(p, lambda x: length(x))) AS longest, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, list_filter(string_split({_FOLD}, chr(1)), lambda x: x <> '') AS p FROM documents)")
 def greedy_pack(spark, d):
     p = chunk.pack(F.replace(F.col("text"), F.lit(". "), F.lit("。")), 400)
-    packed = docs_of(spark, d).select("doc_id", "text", p.alias("p"))
-    return packed.select("doc_id", F.size("p").alias("n"), F.array_max(F.transform("p", lambda x: F.length(x))).alias("longest"), (F.array_join("p", "") == F.replace(F.col("text"), F.lit(". "), F.lit("。"))).alias("whole"))
+    packed = docs_of(spark, d).select("doc_id", p.alias("p"))
+    return packed.select("doc_id", F.size("p").cast("long").alias("n"), F.array_max(F.transform("p", lambda x: F.length(x))).cast("long").alias("longest"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
 @query("pack_stream")
@@ -443,25 +494,25 @@ def pack_stream(spark, d):
     return chunk.pack_stream(lines, "at", 400, "source").select("source", "at.doc_id", "at.line_no", F.size("chunks").alias("n"))
 
 
-_IDS = BYTES.format("substr(text, 1, 400)")
+_IDS = BYTES.format("text")
 
 
 @query("sliding_windows", f"SELECT doc_id, i::int AS i, {DIGEST.format('ids[i * 48 + 1 : i * 48 + 65]')} AS digest FROM (SELECT doc_id, ids, unnest(range(0, CASE WHEN len(ids) < 65 THEN 0 ELSE (len(ids) - 65) // 48 + 1 END)) AS i FROM (SELECT doc_id, {_IDS} AS ids FROM documents))")
 def sliding_windows(spark, d):
-    ids = docs_of(spark, d).select("doc_id", tokenizer.byte_ids(F.substring("text", 1, 400)).alias("ids"))
+    ids = docs_of(spark, d).select("doc_id", tokenizer.byte_ids(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.posexplode(chunk.windows(F.col("ids"), 64)).alias("i", "w")).select("doc_id", "i", digest(F.col("w")).alias("digest"))
 
 
 @query("pad_shift", f"WITH b AS (SELECT doc_id, doc_id // 8 AS batch, {_IDS} AS ids FROM documents), m AS (SELECT batch, max(len(ids)) AS n FROM b GROUP BY batch), f AS (SELECT doc_id, ids || list_transform(range(0, n - len(ids)), lambda x: 0) AS ids FROM b JOIN m USING (batch)) SELECT doc_id, {DIGEST.format('ids[:-2]')} AS input, {DIGEST.format('ids[2:]')} AS target FROM f")
 def pad_shift(spark, d):
-    rows = docs_of(spark, d).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), tokenizer.byte_ids(F.substring("text", 1, 400)).alias("ids"))
+    rows = docs_of(spark, d).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), tokenizer.byte_ids(F.col("text")).alias("ids"))
     return chunk.collate(rows, "batch").select("doc_id", digest(F.col("input")).alias("input"), digest(F.col("target")).alias("target"))
 
 
-@query("random_cut")
+@query("random_cut", f"SELECT doc_id, n, CASE WHEN {u(42, 'doc_id')} < 0.1 THEN least(n, floor(n / 2) + floor({u(43, 'doc_id')} * (n - floor(n / 2) + 1)))::bigint ELSE n END AS n_cut FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
 def random_cut(spark, d):
-    rows = docs_of(spark, d).select("doc_id", tokenizer.byte_ids(F.substring("text", 1, 400)).alias("ids"))
-    return rows.select("doc_id", F.size("ids").alias("n"), F.size(chunk.random_cut(F.col("ids"), F.col("doc_id"))).alias("n_cut"))
+    rows = docs_of(spark, d).select("doc_id", tokenizer.byte_ids(F.col("text")).alias("ids"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n"), F.size(chunk.random_cut(F.col("ids"), F.col("doc_id"))).cast("long").alias("n_cut"))
 
 
 # --- tokenizer -------------------------------------------------------------------------------------------------------
@@ -481,7 +532,7 @@ def byte_ids(spark, d):
 
 
 def _trained(spark, d):
-    return tokenizer.train(docs_of(spark, d), 600, max_chars=100_000)
+    return tokenizer.train(docs_of(spark, d), 600)
 
 
 @query("bpe_encode_counts")
@@ -489,11 +540,10 @@ def bpe_encode_counts(spark, d):
     return docs_of(spark, d).select("doc_id", F.size(tokenizer.encode_udf(_trained(spark, d), True, True)("text")).alias("n"))
 
 
-@query("bpe_roundtrip", "SELECT count(*) AS n, count(*) AS same FROM documents")
+@query("bpe_roundtrip", "SELECT doc_id, md5(text) AS digest FROM documents")
 def bpe_roundtrip(spark, d):
     t = _trained(spark, d)
-    back = tokenizer.decode_udf(t)(tokenizer.encode_udf(t)("text"))
-    return docs_of(spark, d).select((back == F.col("text")).alias("same")).agg(F.count("*").alias("n"), F.count_if("same").alias("same"))
+    return docs_of(spark, d).select("doc_id", F.md5(tokenizer.decode_udf(t)(tokenizer.encode_udf(t)("text"))).alias("digest"))
 
 
 # --- fine-tuning -----------------------------------------------------------------------------------------------------
@@ -520,11 +570,13 @@ def last_assistant_turn(spark, d):
     return last.select("conv_id", F.size("t.context").cast("long").alias("n_context"), "t.target")
 
 
-@query("multiturn_expand", "SELECT doc_id, 2 + 2 * least(3, doc_id % 5) AS n_messages, 'user' AS first_role, 'assistant' AS last_role FROM documents")
+_TALK = "'<|im_start|>user' || chr(10) || {0} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || {1} || '<|im_end|>' || chr(10)"
+
+
+@query("multiturn_expand", f"SELECT doc_id, {_TALK.format('lang', 'text')} || array_to_string(list_transform(range(1, least(3, doc_id % 5) + 1), lambda k: {_TALK.format('k || lang', 'source || k')}), '') AS talk FROM documents")
 def multiturn_expand(spark, d):
-    follow = F.transform(F.filter(F.sequence(F.lit(1), F.lit(5)), lambda k: k <= F.col("doc_id") % 5), lambda k: F.struct(F.col("lang").alias("user"), F.col("source").alias("assistant")))
-    m = tuning.expand_turns(F.col("lang"), F.col("source"), follow, 3)
-    return docs_of(spark, d).select("doc_id", F.size(m).cast("long").alias("n_messages"), m[0]["role"].alias("first_role"), F.element_at(m, -1)["role"].alias("last_role"))
+    follow = F.transform(F.filter(F.sequence(F.lit(1), F.lit(5)), lambda k: k <= F.col("doc_id") % 5), lambda k: F.struct(F.concat(k.cast("string"), F.col("lang")).alias("user"), F.concat(F.col("source"), k.cast("string")).alias("assistant")))
+    return docs_of(spark, d).select("doc_id", T.chatml(tuning.expand_turns(F.col("lang"), F.col("text"), follow, 3)).alias("talk"))
 
 
 # System prompts to inject.
@@ -537,14 +589,14 @@ def system_injection(spark, d):
     return docs_of(spark, d).select("doc_id", tuning.inject_system(m, F.col("doc_id"), SYSTEM)[0]["content"].alias("first"))
 
 
-_SFT = f"""WITH x AS (SELECT doc_id, {BYTES.format("'<|im_start|>user\n' || source || '<|im_end|>\n<|im_start|>assistant\n'")} AS p, {BYTES.format("'<|im_start|>user\n' || source || '<|im_end|>\n<|im_start|>assistant\n' || substr(text, 1, 120) || '<|im_end|>\n'")} AS f FROM documents),
+_SFT = f"""WITH x AS (SELECT doc_id, {BYTES.format("'<|im_start|>user\n' || source || '<|im_end|>\n<|im_start|>assistant\n'")} AS p, {BYTES.format("'<|im_start|>user\n' || source || '<|im_end|>\n<|im_start|>assistant\n' || text || '<|im_end|>\n'")} AS f FROM documents),
 c AS (SELECT doc_id, f[greatest(0, len(f) - 128) + 1 :] AS ids, greatest(0, len(p) - greatest(0, len(f) - 128)) AS p FROM x)
 SELECT doc_id, {DIGEST.format("ids[: len(ids) - 1] || list_transform(range(0, 129 - len(ids)), lambda x: 0)")} AS input, {DIGEST.format("list_transform(ids[2:], lambda x, i: CASE WHEN i - 1 < p - 1 THEN -100 ELSE x END) || list_transform(range(0, 129 - len(ids)), lambda x: -100)")} AS labels FROM c"""
 
 
 @query("sft_labels", _SFT)
 def sft_labels(spark, d):
-    rows = docs_of(spark, d).select("doc_id", F.array(tuning.message("user", F.col("source")), tuning.message("assistant", F.substring("text", 1, 120))).alias("messages"))
+    rows = docs_of(spark, d).select("doc_id", F.array(tuning.message("user", F.col("source")), tuning.message("assistant", F.col("text"))).alias("messages"))
     return tuning.sft_rows(rows, tokenizer.byte_ids, 128).select("doc_id", digest(F.col("input")).alias("input"), digest(F.col("labels")).alias("labels"))
 
 
@@ -563,19 +615,39 @@ def dpo_validate(spark, d):
 
 
 _SIDE = "x.p || x.a"
+_DPO = f"WITH x AS (SELECT doc_id, {BYTES.format('source')} AS p, {BYTES.format('text')} AS a FROM documents), c AS (SELECT doc_id, ({_SIDE})[greatest(0, len({_SIDE}) - 64) + 1 :] AS ids, greatest(0, len(p) - greatest(0, len({_SIDE}) - 64)) AS p FROM x)"
 
 
-@query("dpo_masks", f"WITH x AS (SELECT doc_id, {BYTES.format('source')} AS p, {BYTES.format('substr(text, 1, 80)')} AS a FROM documents), c AS (SELECT doc_id, ({_SIDE})[greatest(0, len({_SIDE}) - 64) + 1 :] AS ids, len(p) - greatest(0, len({_SIDE}) - 64) AS p FROM x) SELECT doc_id, {DIGEST.format('ids')} AS ids, (len(ids) - 1 - greatest(0, least(p, len(ids)) - 1))::bigint AS n_learned FROM c")
+@query("dpo_masks", f"{_DPO} SELECT doc_id, {DIGEST.format('ids')} AS ids, (len(ids) - 1 - greatest(0, least(p, len(ids)) - 1))::bigint AS n_learned FROM c")
 def dpo_masks(spark, d):
-    side = tuning.dpo_side(tokenizer.byte_ids(F.col("source")), tokenizer.byte_ids(F.substring("text", 1, 80)), 64)
+    side = tuning.dpo_side(tokenizer.byte_ids(F.col("source")), tokenizer.byte_ids(F.col("text")), 64)
     rows = docs_of(spark, d).select("doc_id", side.alias("s"))
     return rows.select("doc_id", digest(F.col("s.ids")).alias("ids"), F.aggregate("s.mask", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_learned"))
 
 
-@query("dpo_pairs")
+@query("dpo_collate", f"WITH m AS (SELECT doc_id, doc_id // 4 AS batch, {BYTES.format('source')} || {BYTES.format('text')} AS c, {BYTES.format('source')} || {BYTES.format('lang')} AS r, len({BYTES.format('source')}) AS p FROM documents), w AS (SELECT batch, max(len(c)) AS nc, max(len(r)) AS nr FROM m GROUP BY batch) SELECT doc_id, {DIGEST.format('c || list_transform(range(0, nc - len(c)), lambda x: 0)')} AS chosen, {DIGEST.format('r || list_transform(range(0, nr - len(r)), lambda x: 0)')} AS rejected, nc - 1 AS n_chosen_mask, len(c) - p AS n_chosen, nr - 1 AS n_rejected_mask, len(r) - p AS n_rejected FROM m JOIN w USING (batch)")
+def dpo_collate(spark, d):
+    ids = docs_of(spark, d).select("doc_id", F.floor(F.col("doc_id") / 4).alias("batch"), *[tokenizer.byte_ids(F.col(c)).alias(n) for c, n in (("source", "p"), ("text", "c"), ("lang", "r"))])
+    sides = ids.select("doc_id", "batch", *[tuning.dpo_side(F.col("p"), F.col(c), 1 << 30).alias(n) for c, n in (("c", "cs"), ("r", "rs"))])
+    rows = sides.select("doc_id", "batch", F.col("cs.ids").alias("chosen"), F.col("cs.mask").alias("chosen_mask"), F.col("rs.ids").alias("rejected"), F.col("rs.mask").alias("rejected_mask"))
+    ones = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x).cast("long")
+    got = chunk.collate_pairs(rows, "batch")
+    size = lambda c: F.size(c).cast("long")
+    return got.select("doc_id", digest(F.col("chosen")).alias("chosen"), digest(F.col("rejected")).alias("rejected"), size("chosen_mask").alias("n_chosen_mask"), ones("chosen_mask").alias("n_chosen"), size("rejected_mask").alias("n_rejected_mask"), ones("rejected_mask").alias("n_rejected"))
+
+
+_CHAT = "string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)"
+
+
+@query("sft_multiturn", f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), x AS (SELECT conv_id, {BYTES.format(f'coalesce({_CHAT} FILTER (back > 1), {chr(39) * 2}) || {chr(39)}<|im_start|>assistant{chr(39)} || chr(10)')} AS p, {BYTES.format(_CHAT)} AS f FROM t GROUP BY conv_id), c AS (SELECT conv_id, f[greatest(0, len(f) - 256) + 1 :] AS ids, greatest(0, len(p) - greatest(0, len(f) - 256)) AS p FROM x) SELECT conv_id, {DIGEST.format('ids[: len(ids) - 1] || list_transform(range(0, 257 - len(ids)), lambda x: 0)')} AS input, {DIGEST.format('list_transform(ids[2:], lambda x, i: CASE WHEN i - 1 < p - 1 THEN -100 ELSE x END) || list_transform(range(0, 257 - len(ids)), lambda x: -100)')} AS labels FROM c")
+def sft_multiturn(spark, d):
+    return tuning.sft_rows(conv(spark, d), tokenizer.byte_ids, 256).select("conv_id", digest(F.col("input")).alias("input"), digest(F.col("labels")).alias("labels"))
+
+
+@query("dpo_pairs", "SELECT conv_id, count(*) - 1 AS n_context, arg_max(text, turn) AS chosen, 'no' AS rejected FROM conversations GROUP BY conv_id HAVING arg_max(role, turn) = 'assistant' AND arg_max(text, turn) <> 'no'")
 def dpo_pairs(spark, d):
     rows = conv(spark, d).withColumn("guess", F.lit("no"))
-    return tuning.dpo_pairs(rows, "guess").select("conv_id", F.size("messages").alias("n_context"), "chosen", "rejected")
+    return tuning.dpo_pairs(rows, "guess").select("conv_id", F.size("messages").cast("long").alias("n_context"), "chosen", "rejected")
 
 
 @query("long_form", "SELECT doc_id FROM documents WHERE length(text) >= 150")
@@ -583,11 +655,17 @@ def long_form(spark, d):
     return tuning.long_form(docs_of(spark, d).withColumnRenamed("text", "output")).select("doc_id")
 
 
-@query("template_expand", "SELECT source AS instruction, count(*) AS n FROM (SELECT DISTINCT source FROM documents), range(0, 5) GROUP BY ALL")
+# Templates, inserts and extras to try.
+TEMPLATES, INSERTS, EXTRAS = ["{words}{q}", "Please: {words}{q}", "{q}?", "Tell me, {q}", "{q}"], ["", "now", "briefly"], ["Say: {q}", "Please: {q}", "{q}!", "Q {q}"]
+_values = lambda xs: "(VALUES " + ", ".join(f"('{x}', {k})" for k, x in enumerate(xs)) + ")"
+_DRAWN = f"SELECT instruction, variant FROM (SELECT DISTINCT instruction, replace(replace(t, '{{q}}', instruction), '{{words}}', CASE WHEN w <> '' THEN w || '，' ELSE '' END) AS variant FROM (SELECT DISTINCT source AS instruction FROM documents), {_values(TEMPLATES)} a(t, i), {_values(INSERTS)} b(w, j)) WHERE variant <> instruction QUALIFY row_number() OVER (PARTITION BY instruction ORDER BY {u(42, 'variant')}, variant) <= 6"
+
+
+@query("template_expand", f"SELECT instruction, variant FROM (SELECT instruction, variant, min(r) AS r FROM (SELECT *, -1 AS r FROM ({_DRAWN}) UNION ALL SELECT source, replace(t, '{{q}}', source), k FROM (SELECT DISTINCT source FROM documents), {_values(EXTRAS)} e(t, k)) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY instruction ORDER BY r, variant) <= 8")
 def template_expand(spark, d):
     bases = docs_of(spark, d).select(F.col("source").alias("instruction")).distinct()
-    templates = spark.createDataFrame([("{}",), ("Please: {}",), ("{}?",), ("Tell me, {}",), ("{} now",)], "template string")
-    return tuning.expand_templates(bases, templates).groupBy("instruction").agg(F.count("*").alias("n"))
+    made = lambda xs, c: spark.createDataFrame(list(zip(xs, range(len(xs)), strict=True)), f"{c} string, rank int")
+    return tuning.expand_templates(bases, made(TEMPLATES, "template").drop("rank"), made(INSERTS, "words"), made(EXTRAS, "template"), n=6, most=8)
 
 
 # --- quality and evaluation ------------------------------------------------------------------------------------------
@@ -671,10 +749,13 @@ def logits(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 10).alias("l"))
 
 
-@query("masked_log_prob", f"SELECT vec_id, round(2 * (l[4] - list_max(l) - ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l)))))), 4) AS log_prob FROM {_LOGITS}")
+_LOG_SOFTMAX = "({0})[{1}] - list_max({0}) - ln(list_sum(list_transform({0}, lambda x: exp(x - list_max({0})))))"
+
+
+@query("masked_log_prob", f"SELECT vec_id, round({_LOG_SOFTMAX.format('l', 4)} + 0.5 * ({_LOG_SOFTMAX.format('list_transform(l, lambda x: x / 2)', 6)}), 4) AS log_prob FROM {_LOGITS}")
 def masked_log_prob(spark, d):
-    f = F.array(F.lit(1.0), F.lit(0.0), F.lit(1.0))
-    return logits(spark, d).select("vec_id", F.round(N.masked_log_prob(F.array("l", "l", "l"), F.array(F.lit(3), F.lit(0), F.lit(3)), f), 4).alias("log_prob"))
+    steps = F.array(F.col("l"), F.reverse("l"), F.transform("l", lambda x: x / 2))
+    return logits(spark, d).select("vec_id", F.round(N.masked_log_prob(steps, F.array(F.lit(3), F.lit(0), F.lit(5)), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.5))), 4).alias("log_prob"))
 
 
 @query("dpo_loss", "SELECT round(avg(ln(1 + exp(-0.1 * ((a - b) - (c - d))))), 9) AS loss FROM (SELECT (doc_id % 13)::double AS a, (doc_id % 7)::double AS b, (doc_id % 11)::double AS c, (doc_id % 5)::double AS d FROM documents)")
@@ -695,15 +776,24 @@ def topk_topp_filter(spark, d):
     return logits(spark, d).select("vec_id", F.size(F.array_compact(k)).cast("long").alias("n_k"))
 
 
-@query("topp_draw")
+_RANKED = f"(SELECT vec_id, unnest(l) AS x, unnest(range(0, len(l))) AS id FROM {_LOGITS})"
+_TOP = f"(SELECT *, CASE WHEN x >= nth_value(x, 10) OVER (PARTITION BY vec_id ORDER BY x DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) THEN exp((x - max(x) OVER (PARTITION BY vec_id)) / 0.8) ELSE 0 END AS e FROM {_RANKED})"
+_MASS = f"(SELECT *, coalesce(sum(e) OVER (PARTITION BY vec_id ORDER BY e DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(e) OVER (PARTITION BY vec_id) AS mass FROM {_TOP})"
+_KEPT = f"(SELECT vec_id, id, CASE WHEN mass <= 0.9 THEN e ELSE 0 END AS k FROM {_MASS})"
+
+
+@query("topp_draw", f"SELECT vec_id, count(*) FILTER (k > 0) AS n_p, least(count(*) FILTER (c <= u), max(id))::int AS id FROM (SELECT *, sum(k) OVER (PARTITION BY vec_id ORDER BY id) / sum(k) OVER (PARTITION BY vec_id) AS c, {u(42, 'vec_id')} AS u FROM {_KEPT}) GROUP BY vec_id")
 def topp_draw(spark, d):
     p = N.top_p(N.temperature(N.top_k(F.col("l"), 10), 0.8), 0.9)
-    return logits(spark, d).select("vec_id", F.size(F.array_compact(p)).alias("n_p"), N.draw(p, T.uniform(42, F.col("vec_id"))).alias("id"))
+    return logits(spark, d).select("vec_id", F.size(F.array_compact(p)).cast("long").alias("n_p"), N.draw(p, T.uniform(42, F.col("vec_id"))).alias("id"))
 
 
-@query("z_loss")
+_LSE = "(list_max({0}) + ln(list_sum(list_transform({0}, lambda x: exp(x - list_max({0}))))))"
+
+
+@query("z_loss", f"SELECT vec_id, round(1e-4 * (pow({_LSE.format('l')}, 2) + pow({_LSE.format('list_transform(l, lambda x: x / 2)')}, 2)) / 2, 6) AS z FROM {_LOGITS}")
 def z_loss(spark, d):
-    return logits(spark, d).select("vec_id", F.round(N.z_loss(F.array("l", "l"), 1e-4), 6).alias("z"))
+    return logits(spark, d).select("vec_id", F.round(N.z_loss(F.array(F.col("l"), F.transform("l", lambda x: x / 2)), 1e-4), 6).alias("z"))
 
 
 @query("loss_spike", "SELECT lang AS run, doc_id AS step, coalesce(length(text) > 6 * lag(length(text)) OVER (PARTITION BY lang ORDER BY doc_id), false) AS spike FROM documents")
@@ -712,6 +802,12 @@ def loss_spike(spark, d):
     return evaluate.loss_spikes(log).select("run", "step", "spike")
 
 
+@query("subject_filter", "SELECT item_id, subject FROM (SELECT item_id, CASE WHEN item_id % 4 > 0 THEN 's' || item_id % 4 END AS subject FROM benchmark) WHERE subject IN ('s1', 's3')")
+def subject_filter(spark, d):
+    items = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 4 > 0, F.concat(F.lit("s"), (F.col("item_id") % 4).cast("string"))).alias("subject"))
+    return mix.of_subjects(items, ["s1", "s3"])
+
+
 # --- plans and streams -----------------------------------------------------------------------------------------------
 
 
