@@ -13,6 +13,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(x: Column) -> Column:
+    """``x``, kept out of filters that are pushed below it: these would compute it, and all that it reads, again. The task's
+    number, which is never negative, is no constant for the optimizer."""
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
 def lr_cosine(step: Column, total: int, warmup: float = 0.01, least: float = 0.1) -> Column:
     """N1. Linear warm-up, then a cosine down to ``least``."""
     warm = max(1, int(total * warmup))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.functions.numeric import once
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """C10. ``docs`` with ``clean`` and ``reason``; kept rows have a null reason."""
     table = options.pop("table", ("", ""))
-    return docs.withColumn("clean", T.cleaned(F.col("text"), table)).withColumn("reason", T.reject_reason(F.col("clean"), F.col("text"), **options))
+    return docs.withColumn("clean", T.cleaned(F.col("text"), table)).withColumn("reason", once(T.reject_reason(F.col("clean"), F.col("text"), **options)))
 
 
 def clean_stats(cleaned: DataFrame, *keys: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions.numeric import once
 from loomtext.functions.text import strip_ws, uniform
 from loomtext.plans.session import checkpointed
 
@@ -61,7 +62,7 @@ def assign_splits(docs: DataFrame, ratios: list[float] | None = None, sources: l
     """M7. ``docs`` with ``split``, texts without their outer white space, blank ones left out."""
     if ratios is not None and len(ratios) != len(sources or ()):
         raise ValueError(f"{len(ratios)} ratios for {len(sources or ())} sources")
-    return docs.withColumn("text", strip_ws(F.col("text"))).where("text <> ''").withColumn("split", split_of(F.col(key), **shares))
+    return docs.withColumn("text", once(strip_ws(F.col("text")))).where("text <> ''").withColumn("split", split_of(F.col(key), **shares))
 
 
 def split_stats(split: DataFrame) -> DataFrame:
