@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Collection
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,20 +41,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomtext/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame, name: str = "rows") -> DataFrame:
+def checkpointed(df: DataFrame, name: str = "rows", **options: str) -> DataFrame:
     """``df`` as a table written to the shared folder: lineage ends there, later reads take the columns that they need, and
-    a lost executor costs no recomputation. The path is in the attribute ``kept_at``."""
+    a lost executor costs no recomputation. The path is in the attribute ``kept_at``. ``options`` are the writer's."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
+    _kept.append(path)
     return out
 
 
+#: Paths of kept tables that were not deleted yet.
+_kept: list[str] = []
+
+
+def kept() -> tuple[str, ...]:
+    """The kept tables so far; ``sweep`` with an earlier answer deletes the later ones."""
+    return tuple(_kept)
+
+
+def sweep(spark: SparkSession, but: Collection[str]) -> None:
+    """Delete all kept tables besides ``but``."""
+    for path in set(_kept) - set(but):
+        forget(spark, path)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a path in the shared folder that nothing reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _kept:
+        _kept.remove(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
