@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -15,40 +14,38 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.plans.session import checkpointed, forget, shared_path
+
 #: Rows in an Arrow batch. A document may hold 100 KB and more, so the default of 10,000 rows could fill a worker.
 BATCH_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="loomtext-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/loomtext/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no
     recomputation. The path is in the attribute ``kept_at``."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_at = path
-    return out
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return checkpointed(df, name, **options)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more, and let Spark delete the shuffle files of finished steps: it does so
+    when the driver's memory is collected, which may else be half an hour later."""
+    for t in tables:
+        forget(spark, t.kept_at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_batches(spark: SparkSession) -> None:
