@@ -3,13 +3,14 @@
 Format: a folder of ``part-*.parquet`` and a ``manifest`` table (Parquet). A part holds the columns ``doc_id``,
 ``n_tokens`` (with the end id) and ``tokens`` (list<int32>), in ascending order of doc_id; parts are in that order too.
 Ids are dictionary-encoded where the dictionary pays and plain otherwise, doc_id and n_tokens are delta-encoded
-(DELTA_BINARY_PACKED), row groups hold a fixed number of tokens, and page indexes are written. So a reader of lengths
+(DELTA_BINARY_PACKED), row groups hold a bounded number of tokens (a longer document stands alone), and page indexes are
+written. So a reader of lengths
 never touches token pages, and a reader of a doc_id range opens only the row groups whose statistics meet it.
 The manifest has one row per part: its file, first and last doc_id, number of documents and of tokens, and ``start``,
 the number of ids before it. It names the files of the attempts that succeeded; what a lost executor left is not read.
 
 Defined cases: null and empty texts are the end id alone; repeated doc_ids stand next to each other, ordered by a hash of
-the text; null doc_ids come first; an empty table gives an empty manifest. Extra columns are ignored.
+the text, and equal rows in any order, which shows nowhere; null doc_ids come first; a text of any length is one row; an empty table gives an empty manifest. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .common import column, forget, ragged, scratch, small_batches, split_words,
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 CACHE_WORDS = 3_000_000
-#: Rows of text that one output file is to hold, in bytes.
-FILE_BYTES = 32 << 20
+#: Text that one output file is to hold, in bytes.
+FILE_BYTES = 256 << 20
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -154,13 +155,16 @@ def write(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, row_group
                     column_encoding={"doc_id": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"}, write_statistics=["doc_id", "n_tokens"],
                 )
                 first = rows.column("doc_id")[0].as_py()
-            for at in range(0, rows.num_rows, 2048):
-                piece = rows.slice(at, 2048)
-                size = int(edges[at + piece.num_rows] - edges[at])
-                if n_held and n_held + size > row_group_tokens:
+            at = 0
+            while at < rows.num_rows:
+                to = int(np.searchsorted(edges, edges[at] + row_group_tokens - n_held, "right")) - 1
+                if to <= at and n_held:
                     flush()
-                held.append(piece)
-                n_held += size
+                    continue
+                to = max(to, at + 1)  # a document beyond the bound
+                held.append(rows.slice(at, to - at))
+                n_held += int(edges[to] - edges[at])
+                at = to
             last = rows.column("doc_id")[-1].as_py()
             n_docs, n_tokens = n_docs + rows.num_rows, n_tokens + int(edges[-1])
         if sink is not None:
@@ -181,10 +185,9 @@ def write(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, row_group
 
 
 def _files(docs: DataFrame) -> int:
-    """As many files as the plan's size asks for, and no fewer than the session's shuffle partitions."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(most, min(size, 1 << 50) // FILE_BYTES, 1)
+    """As many files as the measured text asks for, and no fewer than the session's shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES), 1)
 
 
 def read(spark: SparkSession, out: str, tokens: bool = True, first: int | None = None, last: int | None = None) -> DataFrame:
