@@ -11,11 +11,15 @@ A document's set holds its distinct shingles of ``n`` words (all words as one sh
    collisions (a share 2**-bits of unequal minima agree); pairs whose estimate is ``slack`` standard errors or more below
    the threshold are passed over, the others are confirmed on the full sets. A walk over the cluster from node to node
    finds its true components without listing its pairs. A cluster of more than ``BLOCK_SHINGLES`` shingles is dealt
-   into blocks; every pair of blocks is walked on its own, and gives back a spanning forest only.
+   into blocks; every pair of blocks is walked on its own, and gives back a spanning forest only. With so many blocks that
+   this would copy a text more often than it has bands, each of the cluster's band groups is walked instead, and only one
+   that is itself that large is dealt into blocks: chains of weak candidates make large clusters, but share no band.
 5. The components of all confirmed links, and each document's smallest member.
 
 The number of bands follows from the threshold: with 26 bands of 5 rows, two documents at similarity 0.85 miss every band
-with probability 2.4e-7, with 39 bands two at 0.80 with 1.9e-7, and at 6.5 standard errors the estimate passes over one with 4e-11. Shingles are compared as 64-bit hashes of 64-bit word hashes.
+with probability 2.4e-7, with 39 bands two at 0.80 with 1.9e-7, and at 6.5 standard errors the estimate passes over one with 4e-11. Shingles are compared as 64-bit hashes of 64-bit word hashes: two documents of 10**4
+words hold two different shingles as equal with probability 5e-12, and each changes a similarity by 1e-4. Sets are told
+apart by 120 bits, so that two of 10**10 different ones meet with probability 4e-17.
 
 Defined cases: null, empty or blank texts have the empty set, and are linked with nothing; equal texts are linked
 whatever their doc_id; a repeated doc_id keeps one row per row; a component whose doc_ids are all null has a null id and
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 from math import ceil, log, log1p
 
 import numpy as np
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, forget, hash_words, keep, mixed, odd_numbers, ragged, small_batches, split_words, tables
+from .common import column, components, hash_words, keep, mixed, odd_numbers, ragged, release, small_batches, split_words, tables
 
 ROWS, BITS, SLACK = 5, 2, 6.5
 #: Probability at most that two documents at the threshold share no band.
@@ -94,12 +99,16 @@ def _sketch(low: np.ndarray, bands: int, rows: int, bits: int) -> tuple[np.ndarr
     return keys, (short << (np.arange(per, dtype=np.uint64) * np.uint64(bits))).sum(2, dtype=np.uint64)
 
 
-def digest_of(h: np.ndarray) -> bytes:
-    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+#: Nodes are numbers of 120 bits, as decimals, which Spark aggregates by hash.
+NODE, ARROW_NODE = "decimal(38,0)", pa.decimal128(38, 0)
+
+
+def node_of(h: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=15).digest(), "little")
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, bits: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, signature); node, 64 bits of the set's digest, is null for an empty set."""
+    """(doc_id, n_shingles, node, bands, signature); node, the set's digest, is null for an empty set."""
     small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +116,12 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, bits: int) -> Dat
             sets, k = shingles(column(t, "text"), n)
             keys, packed = _sketch(minima(sets, k, bands * rows), bands, rows, bits)
             z = np.cumsum(k)
-            node = pa.array([int.from_bytes(digest_of(sets[e - c : e])[:8], "little", signed=True) if c else None for e, c in zip(z.tolist(), k.tolist(), strict=True)], pa.int64())
+            node = pa.array([Decimal(node_of(sets[e - c : e])) if c else None for e, c in zip(z.tolist(), k.tolist(), strict=True)], ARROW_NODE)
             lists = pa.ListArray.from_arrays(np.arange(len(k) + 1, dtype=np.int32) * bands, keys.view(np.int64).ravel())
             rows_ = pa.table([column(t, "doc_id"), pa.array(k.astype(np.int64)), node, lists, pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "n_shingles", "node", "bands", "signature"])
             yield from rows_.to_batches(max_chunksize=4096)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, bands array<long>, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, f"doc_id long, n_shingles long, node {NODE}, bands array<long>, signature binary")
 
 
 def estimate(one: np.ndarray, others: np.ndarray, k: int, bits: int) -> np.ndarray:
@@ -159,11 +168,11 @@ def walk(sets: list[np.ndarray], packed: np.ndarray, percent: int, k: int, bits:
 
 def resolve(cluster: DataFrame, percent: int, n: int, bits: int, k: int, slack: float) -> DataFrame:
     """Links (a, b) that span the components of each (cid, i, j, node, signature, text) group; i, j is a pair of blocks."""
-    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    kinds = pa.schema([("a", ARROW_NODE), ("b", ARROW_NODE)])
 
     def linked(nodes: list, packed: list, sets: list) -> pa.RecordBatch:
         found = [(nodes[x], nodes[y]) for x, y in walk(sets, np.stack(packed), percent, k, bits, slack)] if len(sets) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=kinds)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], ARROW_NODE), pa.array([x[1] for x in found], ARROW_NODE)], schema=kinds)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, packed, sets = None, [], [], []
@@ -177,7 +186,7 @@ def resolve(cluster: DataFrame, percent: int, n: int, bits: int, k: int, slack:
                         yield linked(nodes, packed, sets)
                     key, nodes, packed, sets = own_key, [], [], []
                 own = got[e - c : e]
-                if int.from_bytes(digest_of(own)[:8], "little", signed=True) == node:  # else a row with the same doc_id
+                if node_of(own) == node:  # else a row with the same doc_id
                     nodes.append(node)
                     packed.append(np.frombuffer(raw, np.uint64))
                     sets.append(own.copy())
@@ -185,7 +194,7 @@ def resolve(cluster: DataFrame, percent: int, n: int, bits: int, k: int, slack:
             yield linked(nodes, packed, sets)
 
     parts = int(cluster.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cluster.repartition(parts, "cid", "i", "j").sortWithinPartitions("cid", "i", "j").mapInArrow(over, "a long, b long")
+    return cluster.repartition(parts, "cid", "i", "j").sortWithinPartitions("cid", "i", "j").mapInArrow(over, f"a {NODE}, b {NODE}")
 
 
 def components_of(docs: DataFrame, percent: int = 85, n: int = 5, bands: int | None = None, rows: int = ROWS, bits: int = BITS, slack: float = SLACK) -> DataFrame:
@@ -200,9 +209,13 @@ def components_of(docs: DataFrame, percent: int = 85, n: int = 5, bands: int | N
     clusters = components(stars)
     members = clusters.unionAll(clusters.select(F.col("root").alias("node"), "root").distinct())
     members = keep(members.join(nodes.select("node", "doc_id", "signature", "n_shingles"), "node").select("node", F.col("root").alias("cid"), "doc_id", "signature", "n_shingles"), "members")
-    size = members.groupBy("cid").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    # block b of a cluster goes to the tasks (b, j) and (i, b): every pair of blocks meets once, and each block itself when it is alone
-    placed = members.join(size, "cid").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    sized = members.join(members.groupBy(F.col("cid").alias("whole")).agg(blocks), F.col("cid") == F.col("whole")).drop("whole")
+    groups = sized.where(F.col("blocks") <= bands + 1).withColumn("cid", F.xxhash64("cid"))
+    large = sized.where(F.col("blocks") > bands + 1).drop("blocks").join(keyed, "node").withColumn("cid", F.xxhash64("cid", "band", "key")).drop("band", "key")
+    groups = groups.unionByName(large.join(large.groupBy(F.col("cid").alias("whole")).agg(blocks, F.count("*").alias("n")).where("n > 1").drop("n"), F.col("cid") == F.col("whole")).drop("whole"))
+    # block b of a group goes to the tasks (b, j) and (i, b): every pair of blocks meets once, and each block itself when it is alone
+    placed = groups.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)"))
     dealt = placed.withColumn("other", F.explode(other)).select("cid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "signature", "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text")
@@ -216,8 +229,7 @@ def components_of(docs: DataFrame, percent: int = 85, n: int = 5, bands: int | N
     out = signed.select("doc_id", "n_shingles", "node").join(own, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     out = keep(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")), "components")
-    for t in (signed, members):
-        forget(spark, t.kept_at)
+    release(spark, signed, members)
     return out
 
 
