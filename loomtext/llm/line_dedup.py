@@ -18,8 +18,9 @@
 The earlier document is the one with the smaller doc_id. Defined cases: a null text stays null and an empty one empty;
 rows with a null doc_id take no part and stay as they are; rows that share a doc_id don't align with each other, and
 each is aligned with the earlier documents by its own text; lines repeated inside one
-document are no concern of this operator; an empty table gives an empty result. Extra columns pass through, whatever
-their names.
+document are no concern of this operator; of several alignments that patience diff could choose from, ties go to the last
+place on the later side; a text of any length is one list of hashes; an empty table gives an empty result. Extra columns
+pass through, whatever their names, but for one named as the result, which gives way.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column, forget, hash_words, keep, mixed, small_batches, tables
+from loomtext.functions.numeric import let
+
+from .common import column, forget, free_name, hash_words, keep, mixed, small_batches, tables
 
 #: Holders of a run that the first round aligns a document with.
 RARE = 3
@@ -241,21 +244,20 @@ def deleted(prints: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) ->
         lo, hi = hi, 8 * hi
 
 
-def marked(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with a struct ``line_dedup``: kept (the text without the deleted lines), n_lines (with a word), n_deleted."""
+def marked(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, name: str = "line_dedup") -> DataFrame:
+    """``docs`` with a struct ``name``: kept (the text without the deleted lines), n_lines (with a word), n_deleted."""
     prints = keep(fingerprints(docs), "lines")
     gone = keep(deleted(prints, rare, min_chars), "gone")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
+    own, version, found = (free_name(docs, x) for x in ("_id", "_version", "_found"))
     sizes = prints.select("doc_id", "version", F.size("lines").alias("n")).distinct()
-    known = sizes.join(gone, ["doc_id", "version"], "left").select(F.col("doc_id").alias("line_dedup_id"), F.col("version").alias("line_dedup_version"), F.struct("gone", "n").alias("line_dedup"))
-    joined = docs.join(known, (docs["doc_id"].cast("long") == F.col("line_dedup_id")) & (F.xxhash64(docs["text"]) == F.col("line_dedup_version")), "left")
-    places = F.col("line_dedup.gone")
-    left = F.transform(
-        F.array(F.split(docs["text"], "\n", -1)),
-        lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), places), lambda i: F.get(x, i)), "\n"),
-    )[0]  # the outer transform splits the text once
+    known = sizes.join(gone, ["doc_id", "version"], "left").select(F.col("doc_id").alias(own), F.col("version").alias(version), F.struct("gone", "n").alias(found))
+    joined = docs.join(known, (docs["doc_id"].cast("long") == F.col(own)) & (F.xxhash64(docs["text"]) == F.col(version)), "left")
+    places = F.col(f"{found}.gone")
+    left = let(F.split(docs["text"], "\n", -1), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), places), lambda i: F.get(x, i)), "\n"))
     out = F.struct(
         F.when(places.isNull(), docs["text"]).otherwise(left).alias("kept"),
-        F.coalesce(F.col("line_dedup.n"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.col(f"{found}.n"), F.lit(0)).cast("long").alias("n_lines"),
         F.when(places.isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_deleted"),
     )
-    return joined.withColumn("line_dedup", out).drop("line_dedup_id", "line_dedup_version")
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], out.alias(name))
