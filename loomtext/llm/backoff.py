@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, forget, hash_words, keep, mixed, odd_numbers, small_batches, split_words, tables
+from .common import column, hash_words, keep, mixed, odd_numbers, release, small_batches, split_words, tables
 
 ORDER, ALPHA = 3, 0.4
 #: Bits of an n-gram's hash: among 10**9 n-grams less than one pair is expected to meet. Each bit is an eighth of a byte
@@ -100,13 +100,17 @@ class Grams:
 
 
 def _texts(file: str, block: int) -> bytes:
-    """A block's texts, read from the shared folder instead of sent through another shuffle."""
+    """A block's texts, read from the shared folder instead of sent through another shuffle. Each block is a row group."""
     fs, path = pafs.FileSystem.from_uri(file)
     with fs.open_input_file(path) as f:
         source = pq.ParquetFile(f)
-        for b in source.iter_batches(batch_size=1, columns=["block", "texts"]):
-            if b.column(0)[0].as_py() == block:
-                return b.column(1)[0].as_py()
+        for g in range(source.num_row_groups):
+            stats = source.metadata.row_group(g).column(0).statistics
+            if stats is None or not stats.has_min_max or stats.min <= block <= stats.max:
+                t = source.read_row_group(g, columns=["block", "texts"])
+                at = t.column(0).to_pylist()
+                if block in at:
+                    return t.column(1)[at.index(block)].as_py()
     raise LookupError(f"block {block} is not in {file}")
 
 
@@ -119,7 +123,7 @@ def _buckets(names: np.ndarray, n: int) -> np.ndarray:
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, n_backed_off, score) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    kept = keep(blocks(docs), "lm-blocks")
+    kept = keep(blocks(docs), "lm-blocks", **{"parquet.block.row.count.limit": "1"})
     total = int(kept.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(shuffle, total * order // BUCKET_WORDS)
@@ -204,7 +208,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
             backed |= ~done
             summed = np.bincount(g.doc, weights=ln, minlength=len(g.n))
             short = np.bincount(g.doc, weights=backed, minlength=len(g.n)).astype(np.int64)
-            rows = pa.table([g.doc_ids, pa.array(g.n.astype(np.int64)), pa.array(short), pa.array(np.round(summed, 6))], ["doc_id", "n_words", "n_backed_off", "score"])
+            rows = pa.table([g.doc_ids, pa.array(g.n.astype(np.int64)), pa.array(short), pa.array(summed)], ["doc_id", "n_words", "n_backed_off", "score"])
             yield from rows.to_batches(max_chunksize=4096)
 
         for b in batches:
@@ -223,5 +227,5 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
     whole = kept.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("array<binary>").alias("grams"), F.input_file_name().alias("file"))
     met = whole.unionAll(counted).repartition(max(shuffle, 1), "block").sortWithinPartitions("block", "bucket")
     out = keep(met.mapInArrow(sum_up, "doc_id long, n_words long, n_backed_off long, score double"), "lm-scores")
-    forget(spark, kept.kept_at)
+    release(spark, kept)
     return out
