@@ -12,9 +12,17 @@ Both carry WARC-Refers-To (the response's id, unchanged), WARC-Refers-To-Target-
 response's WARC-Warcinfo-ID where it has one, their own block and payload digests, and the id of the other in
 WARC-Concurrent-To. Ids are derived from the source id and the kind, so that a retried task writes the same records.
 
+Markup is read in one pass, whose time is proportional to the page's length whatever stands in it: a tag is ``<``, a name
+and all up to the next ``>`` without another ``<``; an element without an end that is silent (a script, a comment) lasts
+until the page's end. Links are those of ``a`` elements outside of such.
+
 Defined cases: a null html is an empty payload, a null url leaves WARC-Target-URI out (and the columns null); equal rows
 are the same capture and get equal ids; records other than responses pass ``derive`` by; a response whose HTTP head is
-broken has no HTTP headers and its whole block as payload; an empty table gives an empty result. Extra columns are ignored.
+broken has no HTTP headers and its whole block as payload; a response without a record id gets its ids from its URI, date
+and block; a null block is empty; unknown character sets are read as UTF-8, wrong bytes become U+FFFD; what a damaged
+archive holds instead of a record (a header without an end, a length that is no number, a block that is cut off, a broken
+gzip member) becomes a record of kind ``damaged`` that says why, and reading goes on at the next record, or ends with the
+broken member; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
 import zlib
@@ -40,24 +49,59 @@ DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "page_id long, kind string, record_id string, date string, target_uri string, refers_to string, content_type string, headers array<struct<name: string, value: string>>, block binary"
 KINDS = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in ("kind", "record_id", "date", "target_uri", "refers_to", "content_type")), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary())])
 NAMESPACE = uuid.UUID("6f1c2a54-5a0e-4c5b-9a52-3c0d1de0a7c1")
+#: Bytes of a record's block, at most; the columns of Arrow end at 2 GB.
+LARGEST = 1 << 30
 #: Elements whose content is no text, and elements that end a line.
-_SILENT = "script|style|noscript|template|head"
-_LINE = "address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul"
-_MARKUP = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({_SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?(?:{_LINE}))\b[^>]*>|</?[a-z!?][^>]*>")
+_SILENT = set("script style noscript template head".split())
+_LINE = set("address article aside blockquote br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul".split())
+_MARK = re.compile(r"<(?:!--|[!?][^<>]*>|(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^a-zA-Z0-9<>][^<>]*)?)>)")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\s]*")
-_LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+_HREF = re.compile(r"""(?i)[\s"'/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+))""")
+_END = {name: re.compile(rf"(?i)</{name}\s*>") for name in (*_SILENT, "title")}
 
 
 def digest(raw: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def text_of(page: str) -> str:
-    """The page's text: no scripts, styles, head or comments, a line for each block element, entities decoded."""
-    bare = _MARKUP.sub(lambda m: "\n" if m[2] else " " if m[1] else "", page)
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(bare))).strip()
+def content(page: str) -> tuple[str, str | None, list[str]]:
+    """The page's text (no scripts, styles, head or comments, a line for each block element, entities decoded), its title,
+    and its distinct links in order."""
+    out, links, title, at, sought = [], {}, None, 0, False
+    while m := _MARK.search(page, at):
+        out.append(page[at : m.start()])
+        at, name = m.end(), (m[2] or "").lower()
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+        elif name in _SILENT and not m[1]:
+            end = _END[name].search(page, at)
+            if name == "head" and title is None:
+                title = _title(page, at, end.start() if end else len(page))
+            at = end.end() if end else len(page)
+            out.append(" ")
+        elif name in _LINE:
+            out.append("\n")
+        elif name == "title" and not m[1] and title is None and not sought:
+            title, sought = _title(page, m.start(), len(page)), True  # looked for to the page's end, so once
+        elif name == "a" and not m[1] and (href := _HREF.search(m[3])):
+            links[html.unescape(next(x for x in href.groups() if x is not None)).strip()] = None
+    out.append(page[at:])
+    text = _LINES.sub("\n", _BLANKS.sub(" ", html.unescape("".join(out)))).strip()
+    return text, title, [x for x in links if x]
+
+
+def _title(page: str, first: int, last: int) -> str | None:
+    """What stands in the first title element between two places."""
+    at = first
+    while (m := _MARK.search(page, at, last)) and not ((m[2] or "").lower() == "title" and not m[1]):
+        at = m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", at, last)
+            at = last if end < 0 else end + 3
+    end = _END["title"].search(page, m.end(), last) if m else None
+    return _BLANKS.sub(" ", html.unescape(page[m.end() : end.start()])).strip() if end else None
 
 
 def make(kind: str, record_id: str, date: str, uri: str | None, content_type: str, block: bytes, payload: bytes, more: list[tuple[str, str | None]] = (), page_id: int | None = None) -> dict:
@@ -83,7 +127,10 @@ def http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
         return [], block
     fields = [x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]]
     fields = [(k.strip(), v.strip()) for k, colon, v in fields if colon]
-    if ("content-encoding", "gzip") in [(k.lower(), v.lower()) for k, v in fields]:
+    known = {k.lower(): v.lower() for k, v in fields}
+    if known.get("transfer-encoding") == "chunked":
+        payload = _unchunked(payload)
+    if known.get("content-encoding") == "gzip":
         try:
             payload = gzip.decompress(payload)
         except (OSError, EOFError, zlib.error):
@@ -91,23 +138,37 @@ def http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return fields, payload
 
 
+def _unchunked(payload: bytes) -> bytes:
+    """A chunked body as a whole; as it is where the chunks don't add up."""
+    out, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at, at + 32)
+        size = re.fullmatch(rb"([0-9a-fA-F]{1,8})\s*(?:;.*)?", payload[at:end]) if end >= 0 else None
+        if not size or end + 2 + (n := int(size[1], 16)) > len(payload):
+            return payload
+        if n == 0:
+            return b"".join(out)
+        out.append(payload[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
 def derivatives(r: dict) -> list[dict]:
     """The metadata and the conversion record of a response row."""
-    fields, payload = http(r["block"])
-    own = {x["name"].lower(): x["value"] for x in r["headers"]}
-    charset = next((m[1] for k, v in fields if k.lower() == "content-type" and (m := re.search(r"charset=\"?([\w-]+)", v))), "utf-8")
+    fields, payload = http(r["block"] or b"")
+    own = {x["name"].lower(): x["value"] for x in r["headers"] or ()}
+    charset = next((m[1] for k, v in fields if k.lower() == "content-type" and (m := re.search(r"(?i)charset=[\"']?([\w.:-]+)", v))), "utf-8")
     try:
         page = payload.decode(charset, "replace")
-    except LookupError:
+    except (LookupError, ValueError):
         page = payload.decode("utf-8", "replace")
-    text = text_of(page).encode()
-    title = _TITLE.search(page)
-    links = list(dict.fromkeys(html.unescape(next(x for x in m if x)).strip() for m in _LINK.findall(page) if any(m)))
+    text, title, links = content(page)
+    text = text.encode("utf-8", "replace")
     line = lambda x: re.sub(r"[\r\n]+", " ", x)
     about = [("source-record-id", r["record_id"]), ("source-payload-digest", own.get("warc-payload-digest")), ("source-block-digest", own.get("warc-block-digest")), ("source-content-type", r["content_type"]), ("source-content-length", own.get("content-length"))]
-    about += [(f"http-{k.lower()}", v) for k, v in fields] + [("title", _BLANKS.sub(" ", html.unescape(title[1])).strip() if title else None)] + [("outlink", x) for x in links]
-    meta = "".join(f"{k}: {line(v)}\r\n" for k, v in about if v is not None).encode()
-    ids = {k: name_of(k, r["record_id"]) for k in ("metadata", "conversion")}
+    about += [(f"http-{k.lower()}", v) for k, v in fields] + [("title", title)] + [("outlink", x) for x in links]
+    meta = "".join(f"{k}: {line(v)}\r\n" for k, v in about if v is not None).encode("utf-8", "replace")
+    source = r["record_id"] if r["record_id"] is not None else f"{r['target_uri']} {r['date']} {digest(r['block'] or b'')}"
+    ids = {k: name_of(k, source) for k in ("metadata", "conversion")}
     linked = lambda other: [("WARC-Refers-To", r["record_id"]), ("WARC-Refers-To-Target-URI", r["target_uri"]), ("WARC-Refers-To-Date", r["date"]), ("WARC-Concurrent-To", ids[other]), ("WARC-Warcinfo-ID", own.get("warc-warcinfo-id"))]
     return [
         make("metadata", ids["metadata"], r["date"], r["target_uri"], "application/warc-fields", meta, meta, linked("conversion"), r["page_id"]),
@@ -153,27 +214,90 @@ def serialize(r: dict) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{x['name']}: {x['value']}\r\n" for x in r["headers"]).encode() + b"\r\n" + r["block"] + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> Iterator[dict]:
-    """Records of an archive file, gzipped or not."""
-    if raw[:2] == b"\x1f\x8b":
-        parts = []
-        while raw:
-            d = zlib.decompressobj(31)
-            parts.append(d.decompress(raw) + d.flush())
-            raw = d.unused_data.lstrip(b"\0")
-        raw = b"".join(parts)
-    at = 0
-    while (at := raw.find(b"WARC/1.", at)) >= 0:
-        end = raw.index(b"\r\n\r\n", at)
-        fields = [x.partition(":")[::2] for x in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]]
-        fields = [(k.strip(), v.strip()) for k, v in fields if k]
+class Members(io.RawIOBase):
+    """What the gzip members of a stream hold, in the pieces that they give, so that a broken one loses no earlier record."""
+
+    def __init__(self, stream):
+        self.stream, self.left, self.raw, self.member, self.ended = stream, b"", b"", None, False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.left and not self.ended:
+            self.raw = self.raw or self.stream.read(1 << 16)
+            if self.member is None:
+                self.raw = self.raw.lstrip(b"\0")
+            if not self.raw and self.member is not None:
+                raise EOFError("a gzip member is cut off")
+            if not self.raw:
+                self.ended = not self.stream.peek(1)
+                continue
+            self.member = self.member or zlib.decompressobj(31)
+            self.left = self.member.decompress(self.raw, 1 << 20)
+            self.raw = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+            if self.member.eof:
+                self.member = None
+        n = min(len(into), len(self.left))
+        into[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
+def parse(stream) -> Iterator[dict]:
+    """Records of an open archive, gzipped or not, one after another: no more than a record is held."""
+    f = io.BufferedReader(stream, 1 << 20) if not hasattr(stream, "peek") else stream
+    if f.peek(2)[:2] == b"\x1f\x8b":
+        f = io.BufferedReader(Members(f), 1 << 20)
+    try:
+        yield from _records(f)
+    except (OSError, EOFError, zlib.error) as e:
+        yield _damaged(f"{type(e).__name__}: {e}")
+
+
+def _damaged(why: str) -> dict:
+    return dict.fromkeys(KINDS.names) | {"kind": "damaged", "headers": [{"name": "reason", "value": why}], "block": b""}
+
+
+def _records(f) -> Iterator[dict]:
+    line, why = f.readline(LARGEST), None
+    while line:
+        if not line.startswith(b"WARC/1."):
+            if line.strip() and why is None:
+                why = "no record where one should begin"
+            line = f.readline(LARGEST)
+            continue
+        if why is not None:
+            yield _damaged(why)
+            why = None
+        fields: list[list[str]] = []
+        while (line := f.readline(LARGEST)) not in (b"", b"\n", b"\r\n") and not line.startswith(b"WARC/1."):
+            said = line.decode("utf-8", "replace").rstrip("\r\n")
+            if said[:1] in " \t" and fields:
+                fields[-1][1] += " " + said.strip()  # goes on
+            elif ":" in said:
+                fields.append([x.strip() for x in said.split(":", 1)])
+        if line not in (b"\n", b"\r\n"):
+            yield _damaged("a header without an end")
+            continue
         own = {k.lower(): v for k, v in fields}
-        size = int(own.get("content-length", 0))
+        size = own.get("content-length", "")
+        if not re.fullmatch("[0-9]{1,18}", size) or int(size) > LARGEST:
+            yield _damaged(f"no length of a block: {size[:100]}")
+            line, why = f.readline(LARGEST), None
+            while line and not line.startswith(b"WARC/1."):
+                line = f.readline(LARGEST)
+            continue
+        block = f.read(int(size))
+        if len(block) < int(size):
+            yield _damaged(f"{len(block)} of {size} bytes of a block")
+            return
         yield {
             "page_id": None, "kind": own.get("warc-type"), "record_id": own.get("warc-record-id"), "date": own.get("warc-date"), "target_uri": own.get("warc-target-uri"), "refers_to": own.get("warc-refers-to"),
-            "content_type": own.get("content-type"), "headers": [{"name": k, "value": v} for k, v in fields], "block": raw[end + 4 : end + 4 + size],
+            "content_type": own.get("content-type"), "headers": [{"name": k, "value": v} for k, v in fields], "block": block,
         }
-        at = end + 4 + size
+        line = f.readline(LARGEST)
+    if why is not None:
+        yield _damaged(why)
 
 
 def write(records: DataFrame, out: str, level: int = 6) -> DataFrame:
@@ -198,16 +322,23 @@ def write(records: DataFrame, out: str, level: int = 6) -> DataFrame:
     return records.mapInArrow(over, "file string, n_records long")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of archive files under ``path``."""
+def read(spark: SparkSession, path: str, stream: bool = True) -> DataFrame:
+    """Records of archive files under ``path``, each file streamed by its task. Without ``stream`` the files come through
+    Spark's own reader, for stores that only Spark can open; a file is a row then, and 2 GB at most."""
     small_batches(spark)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column("content").to_pylist():
-                yield from _batches(parse(raw))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(over, SCHEMA)
+            for one in b.column(0).to_pylist():
+                if stream:
+                    fs, name = pafs.FileSystem.from_uri(one)
+                    with fs.open_input_stream(name, compression=None) as f:
+                        yield from _batches(parse(f))
+                else:
+                    yield from _batches(parse(io.BytesIO(one)))
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path" if stream else "content").mapInArrow(over, SCHEMA)
 
 
 def run(pages: DataFrame) -> DataFrame:
