@@ -491,7 +491,8 @@ def greedy_pack(spark, d):
 @query("pack_stream")
 def pack_stream(spark, d):
     lines = readers.granular(docs_of(spark, d), "line").select("source", F.struct("doc_id", "line_no").alias("at"), "text")
-    return chunk.pack_stream(lines, "at", 400, "source").select("source", "at.doc_id", "at.line_no", F.size("chunks").alias("n"))
+    packed = chunk.pack_stream(lines, "at", 400, "source")
+    return packed.select("source", "at.doc_id", "at.line_no", "piece", "slice", F.length("chunk").alias("n"), F.md5("chunk").alias("digest"))
 
 
 _IDS = BYTES.format("text")

@@ -136,10 +136,55 @@ def test_pack(spark):
     assert [list(r[0]) for r in got] == [pack(t, 5) for t in texts]
 
 
+def packed_lines(lines, n):
+    """The reading of a file line by line, restated: (line and sentence where a chunk begins, slice, chunk)."""
+    import re
+
+    out, buf, at = [], "", None
+    for no, line in enumerate(lines):
+        line = (line or "").strip()
+        if not line:
+            if buf:
+                out.append((*at, 0, buf))
+            buf = ""
+            out.append((no, 0, 0, ""))
+        for k, p in enumerate(filter(None, re.split("([。！？；\n]+)", line))):
+            if (len(p) > n or len(buf) + len(p) > n) and buf:
+                out.append((*at, 0, buf))
+                buf = ""
+            if len(p) > n:
+                out += [(no, k, i // n, p[i : i + n]) for i in range(0, len(p), n)]
+                continue
+            at = at if buf else (no, k)
+            buf += p
+    return out + ([(*at, 0, buf)] if buf else [])
+
+
 def test_pack_stream(spark):
     d = docs(spark, ["ab", "cd", "", "ef。gh", "ij"])
-    got = chunk.pack_stream(d, "doc_id", 4).orderBy("doc_id").collect()
-    assert [list(r.chunks) for r in got] == [["abcd"], [""], ["ef。", "ghij"]]
+    got = chunk.pack_stream(d, "doc_id", 4).orderBy("doc_id", "piece").collect()
+    assert [r.chunk for r in got] == ["abcd", "", "ef。", "ghij"]
+
+
+@pytest.mark.parametrize("blanks", [0, 3])
+def test_pack_stream_over_ranges(spark, blanks):
+    """Two sources, one without any blank line: many ranges, chunks that go over several of them."""
+    rnd = random.Random(blanks)
+    line = lambda: "".join(rnd.choice("abc。！ ") for _ in range(rnd.randrange(1, 14)))
+    texts = {"x": [line() for _ in range(400)], "y": [rnd.choice([line(), "a", *[" "] * blanks, None if blanks else "b", "z" * 45]) for _ in range(300)], "z": ["only one"]}
+    rows = [(g, k, t) for g, ts in texts.items() for k, t in enumerate(ts)]
+    rnd.shuffle(rows)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        d = spark.createDataFrame(rows, "g string, k long, text string")
+        got = sorted((r.g, r.k, r.piece, r.slice, r.chunk) for r in chunk.pack_stream(d, "k", 20, "g").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted((g, *c) for g, ts in texts.items() for c in packed_lines(ts, 20))
+    assert chunk.pack_stream(d.where("k < 0"), "k", 20, "g").count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 7, 8, 9, 13, 14, 15, 16, 40])
