@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, hash_words, keep, mixed, odd_numbers, ragged, release, small_batches, split_words, tables
+from .common import column, components, free_name, hash_words, keep, mixed, odd_numbers, ragged, release, small_batches, split_words, tables
 
 ROWS, BITS, SLACK = 5, 2, 6.5
 #: Probability at most that two documents at the threshold share no band.
@@ -108,7 +108,7 @@ def node_of(h: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, bits: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, signature); node, the set's digest, is null for an empty set."""
+    """(doc_id, n_shingles, node, bands, signature, version); node, the set's digest, is null for an empty set."""
     small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +118,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, bits: int) -> Dat
             z = np.cumsum(k)
             node = pa.array([Decimal(node_of(sets[e - c : e])) if c else None for e, c in zip(z.tolist(), k.tolist(), strict=True)], ARROW_NODE)
             lists = pa.ListArray.from_arrays(np.arange(len(k) + 1, dtype=np.int32) * bands, keys.view(np.int64).ravel())
-            rows_ = pa.table([column(t, "doc_id"), pa.array(k.astype(np.int64)), node, lists, pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "n_shingles", "node", "bands", "signature"])
+            rows_ = pa.table([column(t, "doc_id"), pa.array(k.astype(np.int64)), node, lists, pa.array([x.tobytes() for x in packed], pa.binary()), column(t, "version")], ["doc_id", "n_shingles", "node", "bands", "signature", "version"])
             yield from rows_.to_batches(max_chunksize=4096)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, f"doc_id long, n_shingles long, node {NODE}, bands array<long>, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version")).mapInArrow(sign, f"doc_id long, n_shingles long, node {NODE}, bands array<long>, signature binary, version long")
 
 
 def estimate(one: np.ndarray, others: np.ndarray, k: int, bits: int) -> np.ndarray:
@@ -197,8 +197,10 @@ def resolve(cluster: DataFrame, percent: int, n: int, bits: int, k: int, slack:
     return cluster.repartition(parts, "cid", "i", "j").sortWithinPartitions("cid", "i", "j").mapInArrow(over, f"a {NODE}, b {NODE}")
 
 
-def components_of(docs: DataFrame, percent: int = 85, n: int = 5, bands: int | None = None, rows: int = ROWS, bits: int = BITS, slack: float = SLACK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
+def components_of(docs: DataFrame, percent: int = 85, n: int = 5, bands: int | None = None, rows: int = ROWS, bits: int = BITS, slack: float = SLACK, version: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text), and ``version``, a hash of its text,
+    if asked for."""
+    more = ["version"] * version
     spark = docs.sparkSession
     bands = bands or bands_for(percent, rows)
     signed = keep(signatures(docs, n, bands, rows, bits), "signatures")
@@ -226,14 +228,22 @@ def components_of(docs: DataFrame, percent: int = 85, n: int = 5, bands: int | N
     named = both.join(firsts, "root").select("node", "component_id")
     # a node outside of every component has its own smallest doc_id
     own = nodes.select("node", F.col("doc_id").alias("own_id")).join(named, "node", "left").select("node", F.coalesce("component_id", "own_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "node").join(own, "node", "left")
+    out = signed.select("doc_id", "n_shingles", "node", *more).join(own, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    out = keep(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")), "components")
+    out = keep(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), *more), "components")
     release(spark, signed, members)
     return out
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest doc_id of each component."""
-    kept = components_of(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay: the smallest doc_id of each component, told by doc_id and a hash of the text. Of rows
+    equal in both one stays."""
+    own, version = free_name(docs, "kept_id"), free_name(docs, "kept_version")
+    judged = components_of(docs, version=True, **options).where("kept")
+    stays = judged.groupBy(F.col("doc_id").alias(own), F.col("version").alias(version)).agg(F.count("*").alias("n"))
+    same = lambda k: docs["doc_id"].cast("long").eqNullSafe(k[own]) & (F.xxhash64(docs["text"]) == k[version])
+    single, several = stays.where("n = 1"), stays.where("n > 1")
+    out = docs.join(single, same(single), "left_semi")
+    if several.isEmpty():
+        return out
+    return out.unionAll(docs.join(several, same(several), "left_semi").dropDuplicates(["doc_id", "text"]))
