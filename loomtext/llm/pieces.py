@@ -10,7 +10,8 @@ A BPE model's segmentation is no best sum: there an edge may follow another if t
 order, would not have merged across the seam (``Model.stable``). A sequence is what BPE gives if and only if all its
 seams are stable, so exactly one edge survives at each position, and the result equals the merge loop's. Pieces whose
 scores tie, or that merge out of order, break that argument; units that hold one are merged step by step (``merge``).
-Characters outside of the vocabulary become byte pieces, or the unknown id without byte fallback.
+Characters outside of the vocabulary become byte pieces, or the unknown id without byte fallback. A unit beyond a batch
+(``BATCH_CHARS``) is indexed window by window, and its edges are relaxed over all windows.
 
 Defined cases: null and empty texts have no pieces; a null text decodes to a null; decoding gives back the text of every
 encoded document, and U+FFFD for invalid bytes; ids outside of the vocabulary raise. An empty table gives an empty result.
@@ -36,6 +37,8 @@ from .common import column, ragged, small_batches, tables, trim
 CACHE_UNITS = 500_000
 #: Characters that are indexed at once; about five edges start at each.
 BATCH_CHARS = 150_000
+#: Characters of a longer unit that are indexed at once.
+WINDOW = 30_000
 #: Bits of a symbol in the keys of four.
 BITS = 16
 SPACE = "▁"
@@ -240,15 +243,7 @@ class Encoder:
             half = len(units) // 2
             both = [self._segment(x) for x in (units[:half], units[half:])] if half else [self._alone(units[0])]
             return tuple(np.concatenate(x) for x in zip(*both, strict=True))
-        # pieces with a character that the text lacks have no place in it
-        own = np.minimum(np.searchsorted(names, m.chars + 1), len(names) - 1)
-        fit = ((names[own] == m.chars + 1) | (m.chars == 0)).all(1)
-        pieces, chars, length = m.ids[fit], np.where(m.chars[fit] > 0, own[fit] + 1, 0), m.length[fit]
-        key = four(coded, BITS)
-        order = suffix_array(key, m.chars.shape[1])
-        lo, hi = ranges(coded, key, order, chars, length, BITS)
-        start, piece = order[ragged(lo, hi - lo)], np.repeat(pieces, hi - lo)
-        size = np.repeat(length, hi - lo)
+        start, piece, size = self._edges(names, coded, text == 0)
         unit = np.repeat(np.arange(len(n)), n + 1)
         by_hand = np.zeros(len(n), bool)
         if m.kind == "bpe":
@@ -256,10 +251,6 @@ class Encoder:
             by_hand[unit[start[odd]]] = True
             live = ~m.dead[piece] & ~odd
             start, piece, size = start[live], piece[live], size[live]
-        known = np.zeros(len(text), bool)
-        known[start[size == 1]] = True
-        lone = np.flatnonzero(~known & (text > 0))
-        start, piece, size = np.concatenate([start, lone]), np.concatenate([piece, np.full(len(lone), m.size)]), np.concatenate([size, np.ones(len(lone), np.int64)])
         end = start + size
         column_ = end - first[unit[start]]
         turn = np.argsort(column_, kind="stable")
@@ -332,8 +323,83 @@ class Encoder:
         return out
 
     def _alone(self, unit: str) -> tuple[np.ndarray, np.ndarray]:
-        own = self._by_hand(unit.replace(" ", SPACE)) if self.model.kind == "bpe" else self.model.library.encode(unit)
-        return np.array(own, np.int64), np.array([len(own)])
+        """Ids of a unit too long for the graph of a batch: windows of its text are indexed one after another, an edge is of
+        the window where it starts, and edges are relaxed from the first place on."""
+        m = self.model
+        spelled = unit.replace(" ", SPACE)
+        text = np.frombuffer(spelled.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+        n, longest = len(text), m.chars.shape[1]
+        last, back = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int64)
+        best = np.full(n + 1, -np.inf)
+        best[0] = 0
+        score = np.append(m.scores, m.scores.min() - 10)
+        fits: dict[tuple[int, int], bool] = {}
+        for a in range(0, n, WINDOW):
+            here = text[a : a + WINDOW + longest - 1]
+            start, piece, size = self._edges(*dense(here), np.zeros(len(here), bool))
+            own = start < WINDOW
+            start, piece, size = start[own], piece[own], size[own]
+            if m.kind == "bpe":
+                if np.isin(piece, list(m.odd)).any():
+                    ids = self._by_hand(spelled)
+                    return np.array(ids, np.int64), np.array([len(ids)])
+                live = ~m.dead[piece]
+                start, piece, size = start[live], piece[live], size[live]
+            turn = np.argsort(start, kind="stable")
+            start, piece, size = start[turn] + a, piece[turn], size[turn]
+            if m.kind == "bpe":
+                self._seams(start, piece, size, last, a, fits)
+            for s, p, e in zip(start.tolist(), piece.tolist(), (start + size).tolist(), strict=True):
+                before = int(last[s])
+                if s and before < 0:
+                    continue
+                if m.kind == "bpe":
+                    if s and not fits[before, p]:
+                        continue
+                elif best[s] + score[p] <= best[e]:
+                    continue
+                else:
+                    best[e] = best[s] + score[p]
+                last[e], back[e] = p, s
+        ids, at = [], n
+        while at:
+            p = int(last[at])
+            ids.append([p] if p != m.size else self._bytes(spelled[at - 1]))
+            at = int(back[at])
+        out = np.array([i for x in reversed(ids) for i in x], np.int64)
+        return out, np.array([len(out)])
+
+    def _seams(self, start: np.ndarray, piece: np.ndarray, size: np.ndarray, last: np.ndarray, a: int, fits: dict[tuple[int, int], bool]) -> None:
+        """Whether pieces fit behind each other, for all pairs of edges that meet: edges that end where others begin, or
+        that came into the window from the one before."""
+        end = start + size
+        turn = np.argsort(end, kind="stable")
+        ends, by_end = end[turn], piece[turn]
+        lo, hi = np.searchsorted(ends, start, "left"), np.searchsorted(ends, start, "right")
+        left, right = by_end[ragged(lo, hi - lo)], np.repeat(piece, hi - lo)
+        into = np.flatnonzero((start < a + self.model.chars.shape[1]) & (last[start] >= 0))
+        key = np.unique(np.concatenate([left * FAR + right, last[start[into]].astype(np.int64) * FAR + piece[into]]))
+        pairs = [k for k in zip((key // FAR).tolist(), (key % FAR).tolist(), strict=True) if k not in fits]
+        if pairs:
+            x, y = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+            fits.update(zip(pairs, self.model.stable(x, y).tolist(), strict=True))
+
+    def _edges(self, names: np.ndarray, coded: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences of all pieces in a text (start, piece, size); a character that is no piece is one of its own, but for
+        ``gaps``."""
+        m = self.model
+        # pieces with a character that the text lacks have no place in it
+        own = np.minimum(np.searchsorted(names, m.chars + 1), len(names) - 1)
+        fit = ((names[own] == m.chars + 1) | (m.chars == 0)).all(1)
+        pieces, chars, length = m.ids[fit], np.where(m.chars[fit] > 0, own[fit] + 1, 0), m.length[fit]
+        key = four(coded, BITS)
+        order = suffix_array(key, m.chars.shape[1])
+        lo, hi = ranges(coded, key, order, chars, length, BITS)
+        start, piece, size = order[ragged(lo, hi - lo)], np.repeat(pieces, hi - lo), np.repeat(length, hi - lo)
+        known = gaps.copy()
+        known[start[size == 1]] = True
+        lone = np.flatnonzero(~known)
+        return np.concatenate([start, lone]), np.concatenate([piece, np.full(len(lone), m.size)]), np.concatenate([size, np.ones(len(lone), np.int64)])
 
     def _learn(self, units: list[str]) -> None:
         # a longer unit stands alone; its graph would not fit
