@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.numeric import let, once
 
+from .common import keep, release
+
 NAMES = "(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)"
 ASSIGNED = NAMES + "[\"']?\\s{0,3}[=:]\\s{0,3}[\"']?"
 KEYS = "AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abpr]-[0-9A-Za-z-]{10,}"
@@ -86,7 +88,10 @@ def dictionary(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
     All documents count, whole; what reaches the driver is n words."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?<![a-z])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z])"), F.lit(0)))
     counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
+    top = keep(counted.orderBy(F.desc("n"), "word").limit(n), "dictionary")  # else the driver merges n words of each partition
+    words = [r["word"] for r in top.orderBy(F.desc("n"), "word").collect()]
+    release(docs.sparkSession, top)
+    return words
 
 
 def coverage(value: Column, words: list[str]) -> Column:
