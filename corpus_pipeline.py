@@ -1,8 +1,18 @@
 """From raw documents to training ids: quality rules, line dedup, near-dedup, decontamination, piece encoding.
 
 Each stage takes (spark, docs, sf_dir) and gives back the rows that go on, with the columns of ``documents``; the last
-one gives the encoded documents. Every stage judges what its predecessor kept, and nothing else. A null doc_id is kept
-or dropped with its own row where a stage can tell (quality, decontamination by its text), and never joined by equality.
+one gives the encoded documents. Every stage judges what its predecessor kept, and nothing else.
+
+Defined cases, by stage. Extra columns go through the first four stages as they are, whatever their names; the fifth gives
+its own. An empty table gives an empty one everywhere. Texts of any length are judged whole.
+
+* quality: a null, empty or blank text has no words and goes; a null doc_id or a repeated row is judged by its own text.
+* lines: a null or empty text loses nothing and stays; rows without a doc_id stay as they are; rows that share a doc_id are
+  no partners of each other; ``n_chars`` is counted anew where lines went, if the table has it.
+* near: a document without words is no near copy and stays; of rows equal in doc_id and text one stays; rows that share a
+  doc_id but not the text are judged each by its own; rows without a doc_id stay if their group has no doc_id, else go.
+* leaks: a text that holds a benchmark window goes, wherever it stands; a null or empty one stays.
+* encode: one row for each row; a null text has no pieces and decodes to the empty one.
 """
 
 from __future__ import annotations
@@ -11,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import decontamination, line_dedup, minhash, pieces, quality_rules
-from loomtext.llm.common import forget, keep
+from loomtext.llm.common import free_name, keep
 from loomtext.llm.queries import table, vocabulary
+from loomtext.plans.session import kept, sweep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +33,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the blocks of lines that an earlier document has; documents of which nothing is left go."""
-    done = line_dedup.marked(docs)
-    text = F.col("line_dedup.kept")
-    kept = done.where((F.col("line_dedup.n_deleted") == 0) | (F.col("line_dedup.n_deleted") < F.col("line_dedup.n_lines")))
-    return kept.withColumns({"text": text, "n_chars": F.when(F.col("line_dedup.n_deleted") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    found = free_name(docs, "line_dedup")
+    done = line_dedup.marked(docs, name=found)
+    n, of, text = (F.col(f"{found}.{c}") for c in ("n_deleted", "n_lines", "kept"))
+    new = {"text": text} | ({"n_chars": F.when(n > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return done.where((n == 0) | (n < of)).withColumns(new).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +46,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontamination.run(docs, table(spark, sf_dir, "benchmark"))
-    clean = found.where("not contaminated").select(F.col("doc_id").alias("clean_id")).distinct()
-    return docs.join(clean, docs["doc_id"].cast("long").eqNullSafe(clean["clean_id"]), "left_semi")
+    """Documents without any window of a benchmark item. What is found is told by a hash of the text, so that each row goes
+    or stays by its own."""
+    version = free_name(docs, "version")
+    found = decontamination.run(docs.select(F.xxhash64("text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaking = found.where("contaminated").select(F.col("doc_id").alias(version)).distinct()
+    return docs.join(leaking, F.xxhash64(docs["text"]) == leaking[version], "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again as the next stage's input."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    """All stages over ``documents``; each result is written as Parquet and read again as the next stage's input. Tables
+    that a stage made for itself are deleted when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), kept()
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        if before:
-            forget(spark, before)
-        before = docs.kept_at
+        sweep(spark, {*before, docs.kept_at})
     return docs
