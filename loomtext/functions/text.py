@@ -42,6 +42,19 @@ def traditional(x: Column, source: str = "", target: str = "") -> Column:
     return F.translate(x, source, target) if source else x
 
 
+def conversion_table(lines: list[str]) -> tuple[str, str]:
+    """C9. The table for ``traditional`` from lines that hold a character and, behind a tab, what it becomes; empty lines
+    and comments (#) are passed over. Of a character that stands twice the first line counts."""
+    pairs: dict[str, str] = {}
+    for line in lines:
+        if line.strip() and not line.startswith("#"):
+            a, _, b = line.rstrip("\r\n").partition("\t")
+            if len(a) != 1 or len(b) != 1:
+                raise ValueError(f"not a character and its counterpart: {line!r}")
+            pairs.setdefault(a, b)
+    return "".join(pairs), "".join(pairs.values())
+
+
 def is_ad(x: Column) -> Column:
     """C7. Any advertisement pattern."""
     return _any(x, R.AD)

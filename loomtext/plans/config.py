@@ -36,6 +36,7 @@ class Settings:
     cross_dedup: bool = setting(False, lambda v: isinstance(v, bool))
     variant: str = setting("nano", lambda v: v in ("nano", "lite", "pro"))
     max_chars: float | None = setting(None, lambda v: v is None or number(1)(v))
+    zh_table: str | None = setting(None, lambda v: v is None or isinstance(v, str) and v != "")
     sources: list[str] | None = setting(None, lambda v: v is None or isinstance(v, list) and all(isinstance(x, str) and x for x in v))
 
 

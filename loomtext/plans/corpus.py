@@ -8,8 +8,10 @@ from dataclasses import fields, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import conversion_table
 from loomtext.operators import clean, dedup, mix, qa
 from loomtext.plans.config import Settings, load
+from loomtext.plans.session import kept, sweep
 from loomtext.sources import readers, writers
 
 # Sources of a mix, in its order; the options below keep the names and defaults that users know.
@@ -24,10 +26,10 @@ def prepare(docs: DataFrame, min_len: int = 10, max_len: int = 2000) -> DataFram
     return mix.assign_splits(kept.withColumn("text", F.col("clean")).drop("clean", "reason"))
 
 
-def pipeline(docs: DataFrame, skip_exact_dedup: bool = False, skip_clean: bool = False, skip_simhash: bool = False, cross_dedup: bool = False, exact_mode: str = "exact", prefix_len: int = 100, simhash_threshold: int = 3, sources: list[str] | None = None, order: str = "doc_id") -> DataFrame:
+def pipeline(docs: DataFrame, skip_exact_dedup: bool = False, skip_clean: bool = False, skip_simhash: bool = False, cross_dedup: bool = False, exact_mode: str = "exact", prefix_len: int = 100, simhash_threshold: int = 3, sources: list[str] | None = None, order: str = "doc_id", table: tuple[str, str] = ("", "")) -> DataFrame:
     """Raw rows (order, source, text) to deduplicated ones: exact or prefix dedup by source (news always by prefix),
     cleaning (news with the advertisement filter, wiki with its own), near-dedup by source, QA rows by the QA filter,
-    and on request near-dedup across sources."""
+    and on request near-dedup across sources. ``table`` converts characters in all sources but edu."""
     wanted = sources or [r["source"] for r in docs.select("source").distinct().collect()]  # a handful of names
     known = {r["source"] for r in docs.select("source").distinct().collect()}
     if missing := set(wanted) - known:
@@ -39,7 +41,7 @@ def pipeline(docs: DataFrame, skip_exact_dedup: bool = False, skip_clean: bool =
             by_prefix = source == "news" or exact_mode == "prefix"
             rows = dedup.dedup_prefix(rows, prefix_len, order) if by_prefix else dedup.dedup_exact(rows, order)
         if not skip_clean:
-            judged = clean.clean(rows, min_len=30, max_len=3000, zh=0.15, ads=source == "news", wiki=source == "wiki")
+            judged = clean.clean(rows, min_len=30, max_len=3000, zh=0.15, ads=source == "news", wiki=source == "wiki", table=("", "") if source == "edu" else table)
             rows = judged.where("reason is null").withColumn("text", F.col("clean")).drop("clean", "reason")
         if source == "qa":
             rows = qa.filter_qa(rows, order)
@@ -68,13 +70,14 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--exact_mode", choices=["exact", "prefix"])
     p.add_argument("--prefix_len", type=int)
     p.add_argument("--simhash_threshold", type=int)
+    p.add_argument("--zh_table", help="text file of characters and their simplified forms")
     p.add_argument("--sources", nargs="*")
     for flag in ("skip_exact_dedup", "skip_clean", "skip_simhash", "cross_dedup"):
         p.add_argument(f"--{flag}", action="store_true", default=None)
     a = p.parse_args(args)
     settings = load(a.config) if a.config else Settings()
     c = replace(settings, **{f.name: v for f in fields(Settings) if (v := getattr(a, f.name)) is not None})
-    spark = SparkSession.builder.getOrCreate()
+    spark, before = SparkSession.builder.getOrCreate(), kept()
     if a.job == "extract":
         if a.format == "edu":
             rows = spark.read.parquet(a.input).select("text")
@@ -82,10 +85,11 @@ def main(args: list[str] | None = None) -> None:
             rows = readers.json_lines(readers.archive_lines(spark, a.input), readers.RECORDS[a.format]).where("valid")
         writers.write_lines(readers.EXTRACTORS[a.format](rows), a.output)
     elif a.job == "pipeline":
-        rows = pipeline(spark.read.parquet(a.input), c.skip_exact_dedup, c.skip_clean, c.skip_simhash, c.cross_dedup, c.exact_mode, c.prefix_len, c.simhash_threshold, c.sources)
+        rows = pipeline(spark.read.parquet(a.input), c.skip_exact_dedup, c.skip_clean, c.skip_simhash, c.cross_dedup, c.exact_mode, c.prefix_len, c.simhash_threshold, c.sources, table=conversion_table([r[0] for r in spark.read.text(c.zh_table).collect()]) if c.zh_table else ("", ""))
         rows.write.mode("overwrite").partitionBy("source").parquet(a.output)
     else:
         writers.write_splits(build(spark.read.parquet(a.input), c.variant, c.max_chars), a.output)
+    sweep(spark, before)
 
 
 if __name__ == "__main__":

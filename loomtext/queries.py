@@ -191,6 +191,11 @@ def clean_answers(spark, d):
     return clean.clean_answers(rows).select("doc_id", "output", F.array_join("changed", ",").alias("changed"))
 
 
+@query("score_prompt", "SELECT doc_id, left(text, 3000) AS prompt FROM documents")
+def score_prompt(spark, d):
+    return docs_of(spark, d).select("doc_id", T.prefix(F.col("text"), 3000).alias("prompt"))
+
+
 @query("score_parse", "SELECT doc_id, CASE WHEN ok THEN k::int END AS score, CASE WHEN ok THEN CASE WHEN k <= 2 THEN 0 WHEN k = 3 THEN 1 ELSE 2 END END AS label FROM (SELECT doc_id, k, k BETWEEN 1 AND 5 AND (doc_id % 3 = 0 OR doc_id % 11 > 0) AS ok FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 8 * 10 + 5 ELSE doc_id % 8 END AS k FROM documents))")
 def score_parse(spark, d):
     wide = F.expr("substring('０１２３４５６７', cast(doc_id % 8 as int) + 1, 1)")
@@ -267,6 +272,12 @@ def extract_edu(spark, d):
     return readers.extract_edu(docs_of(spark, d)).select("doc_id", "text")
 
 
+@query("topics", f"SELECT * FROM (SELECT doc_id, {stripped('line')} AS topic FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE topic <> ''")
+def topics(spark, d):
+    lines = docs_of(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return readers.topics(lines).select("doc_id", "topic")
+
+
 @query("line_granularity", "SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) FROM documents) GROUP BY doc_id")
 def line_granularity(spark, d):
     return readers.granular(docs_of(spark, d), "line").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
@@ -396,6 +407,12 @@ def filter_qa_stats(spark, d):
     return qa.qa_stats(qa.judged_qa(_qa_lines(spark, d), "doc_id"))
 
 
+@query("dedup_questions", f"SELECT doc_id FROM (SELECT doc_id, {stripped('split_part(text, chr(10), 1)')} AS q FROM documents) WHERE q <> '' QUALIFY row_number() OVER (PARTITION BY md5(q) ORDER BY doc_id) = 1")
+def dedup_questions(spark, d):
+    rows = docs_of(spark, d).withColumn("q", T.strip_ws(F.expr("split_part(text, '\\n', 1)")))
+    return qa.dedup_questions(rows, "doc_id").select("doc_id")
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 _MIX = "(SELECT source, (1 + ascii(right(source, 1)) % 4) / 40.0::double AS ratio FROM (SELECT DISTINCT source FROM documents)) AS mix"
 

@@ -109,8 +109,8 @@ def benchmark_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topics(rows: DataFrame) -> DataFrame:
-    """E14. Lines without their outer white space, blank ones left out."""
-    return rows.select(strip_ws(F.col("line")).alias("topic")).where("topic <> ''")
+    """E14. Lines without their outer white space, blank ones left out, and the other columns."""
+    return rows.select(*[c for c in rows.columns if c != "line"], strip_ws(F.col("line")).alias("topic")).where("topic <> ''")
 
 
 def first_stage(spark: SparkSession, folder: str, name: str) -> str | None:

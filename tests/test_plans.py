@@ -79,6 +79,17 @@ def test_benchmark_files(spark, tmp_path):
     assert [(r.question, r.subject) for r in readers.benchmark_items(spark, str(tmp_path)).collect()] == [("only", None)]
 
 
+def test_topics_and_first_stage(spark, tmp_path):
+    (tmp_path / "t.txt").write_text(" one \n\n\t\ntwo\n")
+    assert [r.topic for r in readers.topics(readers.lines(spark, str(tmp_path / "t.txt"))).collect()] == ["one", "two"]
+    assert readers.first_stage(spark, str(tmp_path), "wiki") is None
+    (tmp_path / "wiki_clean.txt").write_text("x")
+    (tmp_path / "wiki_trunc.txt").write_text("")
+    assert readers.first_stage(spark, str(tmp_path), "wiki").endswith("wiki_clean.txt")
+    (tmp_path / "wiki_dedup.txt").write_text("y")
+    assert readers.first_stage(spark, str(tmp_path), "wiki").endswith("wiki_dedup.txt")
+
+
 def test_no_local_folder_on_a_cluster(monkeypatch):
     class Spark:
         class conf:  # noqa: N801

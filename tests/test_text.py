@@ -65,6 +65,13 @@ def test_parse_qa(spark):
     assert [(g.q, g.a) for g in got] == list(QA.values())
 
 
+def test_conversion_table(spark):
+    table = T.conversion_table(["# from, to", "漢\t汉", "", "語\t语\n", "漢\t漢"])
+    assert table == ("漢語", "汉语") and apply(spark, lambda x: T.traditional(x, *table), ["漢語 x漢", None]) == ["汉语 x汉", None]
+    with pytest.raises(ValueError):
+        T.conversion_table(["ab\tc"])
+
+
 def test_chatml(spark):
     rows = spark.createDataFrame([([("user", "你好"), ("assistant", "x")],)], "m array<struct<role:string,content:string>>")
     one = rows.select(T.chatml(F.col("m")), T.chatml(F.col("m"), prompt=True)).first()
