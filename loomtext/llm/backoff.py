@@ -14,6 +14,11 @@ blocks, which is its part of the count table, and joins them back to the n-grams
 buckets together, looks up each position and sums by document. A frequent n-gram is one entry per block, so no key is hot.
 All documents count, whole; nothing is pruned.
 
+Blocks and buckets both grow with the corpus, so a row for each pair would hold ever fewer n-grams. Where they would hold
+less than ``LEAST_GRAMS``, in over ``MANY_ROWS`` rows, rows go by way of groups: a block is cut into coarse ranges only, the blocks of a group are added
+up within a coarse range, and what comes out is cut into buckets; sums go back the same way. With the square root of the
+blocks as groups and of the buckets as ranges, both hops have the square root of the rows. The result is the same.
+
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case. Defined cases: null and empty texts have no words and score 0; with
 a single document every word is new; equal texts with other rows count as other documents; a null doc_id is scored like
 any other; an empty table gives an empty result. Extra columns are ignored.
@@ -22,6 +27,7 @@ any other; an empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,10 @@ HASH_BITS = 60
 #: Text of a block, and n-grams that a bucket is to hold.
 BLOCK_BYTES = 8 << 20
 BUCKET_WORDS = 2 << 20
+#: Rows go by way of groups of blocks if there would be more than this many, with fewer n-grams in each on average.
+MANY_ROWS, LEAST_GRAMS = 1 << 20, 1000
+#: Tasks of a shuffle, at most; a task takes its buckets one by one.
+TASKS = 1 << 16
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -114,68 +124,89 @@ def _texts(file: str, block: int) -> bytes:
     raise LookupError(f"block {block} is not in {file}")
 
 
-def _buckets(names: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n hash ranges begins in ascending hashes."""
-    edges = np.array([(k << HASH_BITS) // n for k in range(n)], np.uint64)
-    return np.append(np.searchsorted(names, edges), len(names))
+def _cut(parts: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Ascending hashes and counts of each order by the upper ``bits`` of the hash: range, packed; empty ranges are left
+    out."""
+    at = [(names >> np.uint64(HASH_BITS - bits)).astype(np.int64) for names, _ in parts]
+    first = [np.flatnonzero(np.diff(x, prepend=-1)) for x in at]
+    edges = [dict(zip(x[f].tolist(), zip(f.tolist(), np.append(f[1:], len(x)).tolist(), strict=True), strict=True)) for x, f in zip(at, first, strict=True)]
+    for j in sorted({j for e in edges for j in e}):
+        spans = [e.get(j, (0, 0)) for e in edges]
+        yield j, [x for (names, count), (a, z) in zip(parts, spans, strict=True) for x in (_pack(np.diff(names[a:z], prepend=np.uint64(0))), _pack(count[a:z]))]
+
+
+def _added(held: list[list[bytes]], order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[list[np.ndarray]]]:
+    """The n-grams of some packed rows added up, by order: (hashes, counts); and for each row where its own are in them."""
+    every, places = [], [[] for _ in held]
+    for k in range(order):
+        each = [np.cumsum(_unpack(g[2 * k]), dtype=np.uint64) for g in held]
+        flat, n = np.concatenate(each), np.array(list(map(len, each)))
+        counts = np.concatenate([_unpack(g[2 * k + 1]) for g in held])
+        turn = np.argsort(flat, kind="stable")
+        sorted_ = flat[turn]
+        new = np.ones(len(flat), bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        first = np.flatnonzero(new)
+        every.append((sorted_[first], np.add.reduceat(counts[turn], first) if len(first) else counts))
+        place = np.empty(len(flat), np.int64)
+        place[turn] = np.cumsum(new) - 1
+        z = np.cumsum(n)
+        for own, a, e in zip(places, (z - n).tolist(), z.tolist(), strict=True):
+            own.append(place[a:e])
+    return every, places
 
 
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, n_backed_off, score) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     kept = keep(blocks(docs), "lm-blocks", **{"parquet.block.row.count.limit": "1"})
-    total = int(kept.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
+    n_blocks, total = (int(x) for x in kept.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first())
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(shuffle, total * order // BUCKET_WORDS)
+    bits = max(1, (max(shuffle, total * order // BUCKET_WORDS) - 1).bit_length())
+    n_rows = n_blocks << bits
+    grouped = n_rows > MANY_ROWS and total * order < LEAST_GRAMS * n_rows
+    tasks = max(shuffle, min(1 << bits, TASKS))
+    coarse = (bits + 1) // 2 if grouped else bits
+    groups = max(1, round(n_blocks**0.5))
     schema = "block long, bucket int, grams array<binary>, file string"
     kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("grams", pa.list_(pa.binary())), ("file", pa.string())])
 
+    def rows(some: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        while held := list(islice(some, 64)):
+            block, bucket, grams = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(grams, pa.list_(pa.binary())), pa.nulls(len(held), pa.string())], schema=kinds)
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, texts in zip(b.column("block").to_pylist(), b.column("texts").to_pylist(), strict=True):
-                g, parts = Grams(texts, order), []
-                for k in range(order):
-                    names, _, count = g.distinct(k)
-                    parts.append((names, count, _buckets(names, n_buckets)))
-                full = np.flatnonzero(sum(np.diff(edges) for _, _, edges in parts)).tolist()
-                for at in range(0, len(full), 64):
-                    some = full[at : at + 64]
-                    grams = [[x for names, count, edges in parts for x in (_pack(np.diff(names[edges[j] : edges[j + 1]], prepend=np.uint64(0))), _pack(count[edges[j] : edges[j + 1]]))] for j in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(grams, pa.list_(pa.binary())), pa.nulls(len(some), pa.string())], schema=kinds)
+                g = Grams(texts, order)
+                yield from rows((block, j, grams) for j, grams in _cut([g.distinct(k)[::2] for k in range(order)], coarse))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by bucket."""
-        held: list[tuple[int, list[bytes]]] = []
-        bucket = None
+    def by(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, list[dict]]]:
+        """Rows that come by ``keys``, those of each key together."""
+        every = (r for b in batches for r in b.to_pylist())
+        return ((key, list(own)) for key, own in groupby(every, lambda r: tuple(r[k] for k in keys)))
 
-        def add_up() -> pa.RecordBatch:
-            answers: list[list[bytes]] = [[] for _ in held]
-            for k in range(order):
-                each = [np.cumsum(_unpack(g[2 * k]), dtype=np.uint64) for _, g in held]
-                flat, n = np.concatenate(each), np.array(list(map(len, each)))
-                counts = np.concatenate([_unpack(g[2 * k + 1]) for _, g in held])
-                turn = np.argsort(flat, kind="stable")
-                sorted_ = flat[turn]
-                new = np.ones(len(flat), bool)
-                new[1:] = sorted_[1:] != sorted_[:-1]
-                first = np.flatnonzero(new)
-                sums = np.add.reduceat(counts[turn], first) if len(first) else counts
-                out = np.empty_like(counts)
-                out[turn] = np.repeat(sums, np.diff(np.append(first, len(flat))))
-                z = np.cumsum(n)
-                for own, a, e in zip(answers, (z - n).tolist(), z.tolist(), strict=True):
-                    own.append(_pack(out[a:e]))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(answers, pa.list_(pa.binary())), pa.nulls(len(held), pa.string())], schema=kinds)
-
-        for b in batches:
-            for block, j, grams in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("grams").to_pylist(), strict=True):
-                if j != bucket:
-                    if held:
-                        yield add_up()
-                    held, bucket = [], j
-                held.append((block, grams))
-        if held:
-            yield add_up()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by bucket: the sums of their n-grams, for every block (or group) that has them."""
+        for (bucket,), held in by(batches, "bucket"):
+            every, places = _added([r["grams"] for r in held], order)
+            yield from rows((r["block"], bucket, [_pack(every[k][1][own[k]]) for k in range(order)]) for r, own in zip(held, places, strict=True))
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by group and coarse range: the group's sums, by bucket."""
+        for (group, _), held in by(batches, "group", "bucket"):
+            every, _ = _added([r["grams"] for r in held], order)
+            yield from rows((group, j, grams) for j, grams in _cut(every, bits))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by group and coarse range, those of blocks first: the sums that came back for the group, for each block."""
+        for (_, coarse_range), held in by(batches, "group", "range"):
+            own = [r for r in held if r["bucket"] < 0]
+            back = [r["grams"] for r in held if r["bucket"] >= 0]
+            sums = [np.concatenate([_unpack(g[k]) for g in back]) for k in range(order)]
+            _, places = _added([r["grams"] for r in own], order)
+            yield from rows((r["block"], coarse_range, [_pack(sums[k][at[k]]) for k in range(order)]) for r, at in zip(own, places, strict=True))
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by block: the file that has its texts first, its buckets in ascending order."""
@@ -222,10 +253,19 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFra
         if at is not None:
             yield from score()
 
-    exploded = kept.mapInArrow(explode, schema).repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "block")
-    counted = exploded.mapInArrow(count, schema)
+    dealt = lambda df, n, keys, order_: df.repartition(n, *keys).sortWithinPartitions(*keys, *order_)
+    exploded = kept.mapInArrow(explode, schema)
+    if grouped:
+        exploded = keep(exploded.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))), "lm-grams")
+        met = dealt(exploded, tasks, ["group", "bucket"], ["block"]).mapInArrow(up, schema)
+        sums = dealt(met, tasks, ["bucket"], ["block"]).mapInArrow(count, schema)
+        back = sums.select(F.col("block").alias("group"), F.shiftright("bucket", bits - coarse).alias("range"), F.lit(-1).cast("long").alias("block"), "bucket", "grams")
+        own = exploded.select("group", F.col("bucket").alias("range"), "block", F.lit(-1).alias("bucket"), "grams")
+        counted = dealt(own.unionByName(back), tasks, ["group", "range"], ["bucket", "block"]).mapInArrow(down, schema)
+    else:
+        counted = dealt(exploded, tasks, ["bucket"], ["block"]).mapInArrow(count, schema)
     whole = kept.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("array<binary>").alias("grams"), F.input_file_name().alias("file"))
-    met = whole.unionAll(counted).repartition(max(shuffle, 1), "block").sortWithinPartitions("block", "bucket")
+    met = whole.unionAll(counted).repartition(max(shuffle, min(n_blocks // 8, TASKS)), "block").sortWithinPartitions("block", "bucket")
     out = keep(met.mapInArrow(sum_up, "doc_id long, n_words long, n_backed_off long, score double"), "lm-scores")
-    release(spark, kept)
+    release(spark, kept, *([exploded] if grouped else []))
     return out
