@@ -13,7 +13,8 @@ from . import backoff, decontamination, line_dedup, minhash, pieces, quality_rul
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def vocabulary(name: str) -> str:
