@@ -61,6 +61,7 @@ def small_batches(spark: SparkSession) -> None:
 def trim() -> None:
     """Give freed memory back to the system, where the C library can: workers idle between tasks, and stages that run in
     the JVM need it then."""
+    pa.default_memory_pool().release_unused()
     free = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if free:
         free(0)

@@ -11,7 +11,7 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
 3. ``Collection``: those segments are dealt by anchor, and each task builds the Burrows-Wheeler transform and the common
    prefixes of its segments column by column: every round inserts one more symbol of every segment, from the last to the
    first, at the place that rank counting gives, and updates the common prefixes around it. Transform, prefixes and suffix
-   names lie in external files that each round reads and writes once, from front to end. A symbol is a block of 16 bytes,
+   names lie in external files that each round reads and writes from front to end. A symbol is a block of 16 bytes,
    in phase with the anchor, which cuts the rounds to about 50 and holds all of a window but 16 bytes.
 4. Suffixes that share the blocks inside a window are neighbours with a long common prefix; the window's remaining bytes
    on both sides are then compared exactly.
@@ -19,9 +19,12 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
    digest instead, again with partial aggregation; memory stays bounded and no window is left out.
 6. Each document unites its repeated windows.
 
-Segments are held equal by a 128-bit digest. Defined cases: null and empty texts have no bytes; texts shorter than
-``length`` lose nothing; rows with equal doc_id and text are two places, and so repeat each other; an empty table gives an
-empty result. Extra columns are ignored.
+``passages`` finds passages of ``words`` words or more that also stand in another document, whatever their bytes, by the
+same steps over words: an item is a word then, a block of the transform four words in phase with the anchor.
+
+Segments are held equal by a 128-bit digest, of words by 64 bits beside their anchor's 64. Defined cases: null and empty
+texts have no bytes; texts shorter than ``length`` lose nothing; rows with equal doc_id and text are two places, and so
+repeat each other, but are one document for ``passages``; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,15 +38,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import column, keep, mixed, odd_numbers, ragged, small_batches, tables
+from .common import column, hash_words, keep, mixed, odd_numbers, ragged, release, small_batches, split_words, tables, trim
 
 LENGTH, GRAM, BLOCK = 400, 64, 16
+#: Words of a passage, and of an anchor in it.
+WORDS, WORD_GRAM = 51, 8
 #: Different segments of an anchor that one task takes; bytes of segments in one collection; entries read at a time.
 HOT, SHARD_BYTES, CHUNK = 20_000, 4 << 20, 1 << 20
-#: Bytes of a text that are hashed at once.
-PIECE = 1 << 20
+#: Bytes (or words) that are hashed at once; the arrays over them stay in a core's cache.
+PIECE = 1 << 17
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,17 +61,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _table: list[np.ndarray] = []
 
 
-def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """For each window of ``raw``: the place of its anchor, and that gram's hash."""
     if not _table:
         _table.extend(_powers(2 * PIECE + 4096))
     up, down = (_powers(len(raw) + 1) if len(raw) >= len(_table[0]) else _table)[:2]
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    n = len(raw) - GRAM + 1
-    h = mixed((total[GRAM:] - total[:n]) * down[:n])
+    n = len(raw) - gram + 1
+    h = mixed((total[gram:] - total[:n]) * down[:n])
     low = (h & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)
-    width, have = length - GRAM + 1, 1
+    width, have = length - gram + 1, 1
     while 2 * have <= width:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
@@ -76,6 +81,17 @@ def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def cut(at: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with equal anchors ``at``, none across parts that begin at ``begin``: part, first and last window."""
+    part = np.repeat(np.arange(len(begin) - 1), np.diff(begin))[: len(at)]
+    fits = np.arange(len(at)) + length <= begin[part + 1]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (part[1:] != part[:-1]) | ~fits[:-1]
+    first = np.flatnonzero(new & fits)
+    stop = np.append(np.flatnonzero(new | ~fits), len(at))
+    return part[first], first, stop[np.searchsorted(stop, first, "right")] - 1
+
+
 def pieces(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The texts as byte pieces: (bytes, text number of each part, where the part begins in the piece, and in its text).
     Long texts are cut with an overlap of length - 1, short ones stand side by side."""
@@ -107,31 +123,105 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
     small_batches(docs.sparkSession)
     names = ["doc_id", "version", "first", "last", "anchor", "key", "d1", "d2"]
 
+    def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, versions, texts = column(t, "doc_id"), column(t, "version"), column(t, "text")
+        for raw, text, begin, base in pieces(texts, length):
+            if len(raw) < length:
+                continue
+            at, h = anchors(raw, length)
+            own, first, last = cut(at, begin, length)
+            view = raw.tobytes()
+            both = np.frombuffer(b"".join([xxh3_128_digest(view[a : z + length]) for a, z in zip(first.tolist(), last.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+            shift = base[own] - begin[own]
+            rows = pa.array(text[own])
+            yield pa.RecordBatch.from_arrays([ids.take(rows), versions.take(rows), *(pa.array(x) for x in (first + shift, last + shift, at[first] + shift, h[first].view(np.int64), both[:, 0], both[:, 1]))], names)
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables(batches, limit=4 << 20):
-            ids, versions, texts = column(t, "doc_id"), column(t, "version"), column(t, "text")
-            for raw, text, begin, base in pieces(texts, length):
-                if len(raw) < length:
-                    continue
-                at, h = anchors(raw, length)
-                part = np.repeat(np.arange(len(text)), np.diff(begin))[: len(at)]
-                fits = np.arange(len(at)) + length <= begin[part + 1]
-                new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1]) | (part[1:] != part[:-1]) | ~fits[:-1]
-                first = np.flatnonzero(new & fits)
-                stop = np.append(np.flatnonzero(new | ~fits), len(at))
-                last = stop[np.searchsorted(stop, first, "right")] - 1
-                view = raw.tobytes()
-                both = np.frombuffer(b"".join([xxh3_128_digest(view[a : z + length]) for a, z in zip(first.tolist(), last.tolist(), strict=True)]), np.int64).reshape(-1, 2)
-                own = part[first]
-                shift = base[own] - begin[own]
-                rows = pa.array(text[own])
-                yield pa.RecordBatch.from_arrays([ids.take(rows), versions.take(rows), *(pa.array(x) for x in (first + shift, last + shift, at[first] + shift, h[first].view(np.int64), both[:, 0], both[:, 1]))], names)
+            yield from made(t)
+        trim()
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").where(F.octet_length("text") >= length)
     return known.mapInArrow(over, ", ".join(f"{n} long" for n in names))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def words_in(said: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of some bytes begins, its size, and a hash of it; no word goes across ``edges``."""
+    full = ~_SPACE[said]
+    opens = full.copy()
+    opens[1:] &= ~full[:-1]
+    edges = edges[edges < len(said)]
+    opens[edges] = full[edges]
+    start = np.flatnonzero(opens)
+    if not len(start):
+        return start, start, np.zeros(0, np.uint64)
+    size = np.add.reduceat(full, start, dtype=np.int64)  # all that is no space up to the next one
+    up = np.multiply.accumulate(np.full(int(size.max()), int(odd_numbers(1, 29)[0]), np.uint64))
+    spelled = (said[full].astype(np.uint64) + np.uint64(1)) * up[ragged(np.zeros(len(size), np.int64), size)]
+    return start, size, mixed(np.add.reduceat(spelled, np.cumsum(size) - size) + size.astype(np.uint64))
+
+
+def shared_in(raw: bytes, found: list[tuple[int, int]], words: int) -> int:
+    """The words of a text in its windows of ``words`` words that are equal to one inside ``found`` ([from, to) of words):
+    a passage that stands several times in a document was found at one of its places."""
+    every = words_in(np.frombuffer(raw, np.uint8), np.zeros(0, np.int64))[2]
+    up, down = _powers(len(every) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(every * up[:-1], dtype=np.uint64)])
+    window = (total[words:] - total[:-words]) * down[: len(every) - words + 1]
+    seen = np.zeros(len(window), bool)
+    for a, z in found:
+        seen[a : z - words + 1] = True
+    hit = np.flatnonzero(np.isin(window, window[seen]))
+    return int(np.minimum(np.diff(hit, append=hit[-1] + words), words).sum()) if len(hit) else 0
+
+
+def word_runs(docs: DataFrame, words: int) -> DataFrame:
+    """As ``runs``, over words: (doc_id, version, first, last, anchor, key, d1, begin, size); first, last and anchor count
+    words, begin and size are the bytes of the segment."""
+    small_batches(docs.sparkSession)
+    names = ["doc_id", "version", "first", "last", "anchor", "key", "d1", "begin", "size"]
+
+    def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, versions, texts = column(t, "doc_id"), column(t, "version"), column(t, "text")
+        _, offsets, data = texts.buffers()
+        edges = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        said = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]]
+        inner = edges[:-1] - edges[0]
+        start, size, every = words_in(said, inner)
+        stop = start + size
+        n = np.diff(np.searchsorted(start, np.append(inner, len(said))))
+        whole = np.concatenate([[0], np.cumsum(n)])
+        text_at = np.repeat(inner, n)
+        for a in range(0, len(every) - words + 1, PIECE):  # each window begins in one piece
+            z = min(len(every), a + PIECE + words - 1)
+            low, high = np.searchsorted(whole, a, "right") - 1, np.searchsorted(whole, z, "left")
+            begin = np.clip(whole[low : high + 1] - a, 0, z - a)
+            raw = every[a:z]
+            at, h = anchors(raw, words, WORD_GRAM)
+            own, first, last = cut(at, begin, words)
+            if not len(first):
+                continue
+            view = raw.tobytes()
+            d1 = np.fromiter((xxh3_64_intdigest(view[8 * f : 8 * (x + words)]) for f, x in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
+            text = own + low
+            shift = a - whole[text]
+            from_, to = start[a + first] - text_at[a + first], stop[a + last + words - 1] - text_at[a + first]
+            rows = pa.array(text)
+            yield pa.RecordBatch.from_arrays([ids.take(rows), versions.take(rows), *(pa.array(x) for x in (first + shift, last + shift, at[first] + shift, h[first].view(np.int64), d1, from_, to - from_))], names)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tables(batches, limit=2 << 20):
+            yield from made(t)
+        trim()
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").where(F.octet_length("text") >= 2 * words - 1)
+    return known.mapInArrow(over, ", ".join(f"{n} long" for n in names))
+
+
 class Collection:
     """The Burrows-Wheeler transform and common prefixes of strings of symbols >= 1, built column by column.
 
@@ -255,13 +345,16 @@ class Collection:
         self.round += 1
 
 
-def repeated(segments: list[bytes], phase: np.ndarray, length: int, open_: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def repeated(segments: list[bytes], phase: np.ndarray, length: int, open_: np.ndarray, step: int = 1, owner: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each segment, whether each of its windows also starts elsewhere among these segments, as ranges [from, to).
-    ``phase``: where the first block begins. Only segments that are ``open_`` are asked for."""
+    Only segments that are ``open_`` are asked for. ``phase``: where the first block begins; ``step``: bytes of an item, at
+    whose multiples windows start. With ``owner`` elsewhere means in a segment that is of another owner, or not open."""
     size = np.fromiter(map(len, segments), np.int64, len(segments))
     begin = np.cumsum(size) - size
     raw = np.frombuffer(b"".join(segments) + bytes(BLOCK), np.uint8)
-    n = (size - phase) // BLOCK
+    n = np.maximum((size - phase) // BLOCK, 0)
+    if not n.any():
+        return []
     at = np.repeat(begin + phase, n) + BLOCK * ragged(np.zeros(len(n), np.int64), n)
     words = np.ascontiguousarray(raw[at[:, None] + np.arange(BLOCK)]).view(np.uint64)
     order = np.lexsort((words[:, 1], words[:, 0]))
@@ -269,7 +362,7 @@ def repeated(segments: list[bytes], phase: np.ndarray, length: int, open_: np.nd
     new[1:] = (words[order[1:]] != words[order[:-1]]).any(1)
     symbols = np.empty(len(order), np.int64)
     symbols[order] = np.cumsum(new)
-    least = (length - BLOCK + 1) // BLOCK  # whole blocks in any window
+    least = (length - BLOCK + step) // BLOCK  # whole blocks in any window
     with tempfile.TemporaryDirectory() as folder:
         c = Collection(folder)
         c.build(symbols, n)
@@ -287,7 +380,7 @@ def repeated(segments: list[bytes], phase: np.ndarray, length: int, open_: np.nd
     block = phase[text] + BLOCK * (n[text] - name[where] % 256)
     hit: list[tuple[np.ndarray, np.ndarray]] = []
     inner = BLOCK * least
-    for x in range(length - inner):
+    for x in range(0, BLOCK, step):
         start = block - x
         ok = np.flatnonzero((start >= 0) & (start + length <= size[text]))
         if not len(ok):
@@ -304,12 +397,19 @@ def repeated(segments: list[bytes], phase: np.ndarray, length: int, open_: np.nd
             h = mixed(h ^ both[:, k])
         turn = np.argsort(h, kind="stable")
         a, b = turn[1:], turn[:-1]
-        same = (h[a] == h[b]) & (i[a] == i[b]) & (both[a] == both[b]).all(1)
+        opens = np.ones(len(ok), bool)
+        opens[1:] = ~((h[a] == h[b]) & (i[a] == i[b]) & (both[a] == both[b]).all(1))
+        first = np.flatnonzero(opens)
+        count = np.diff(np.append(first, len(ok)))
+        if owner is None:
+            again = count > 1
+        else:
+            who, closed = owner[t[turn]], ~open_[t[turn]]
+            again = (np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)) | np.logical_or.reduceat(closed, first)
         twice = np.zeros(len(ok), bool)
-        twice[a[same]] = True
-        twice[b[same]] = True
+        twice[turn] = np.repeat(again, count)
         twice &= open_[t]
-        hit.append((t[twice], s[twice]))
+        hit.append((t[twice], s[twice] // step))
     if not hit:
         return []
     t, s = (np.concatenate(x) for x in zip(*hit, strict=True))
@@ -322,96 +422,164 @@ def repeated(segments: list[bytes], phase: np.ndarray, length: int, open_: np.nd
     return [(t[first], np.stack([s[first], s[last] + 1], 1))] if len(t) else []
 
 
-def _segments(rows: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+def repeated_words(segments: list[bytes], place: np.ndarray, owner: np.ndarray, shared: np.ndarray, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each segment of one document (``owner``) its windows of ``words`` words that also stand in a segment of another
+    document, as ranges [from, to). Segments that are ``shared`` stand in several documents and aren't asked for. Words are
+    numbers of 4 bytes here, four to a block; ``place``: the anchor's word."""
+    codes, n, _ = split_words(pa.array(segments, pa.binary()).cast(pa.string()))
+    raw, end = codes.astype(np.uint32).tobytes(), 4 * np.cumsum(n)
+    each = [raw[z - 4 * k : z] for z, k in zip(end.tolist(), n.tolist(), strict=True)]
+    return repeated(each, 4 * place % BLOCK, 4 * words, ~shared, 4, owner)
+
+
+def _segments(rows: DataFrame, docs: DataFrame, begin: str, size: str) -> DataFrame:
     """``rows`` with their segment's bytes."""
     texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), F.xxhash64("text").alias("text_version"), F.encode("text", "utf-8").alias("raw"))
     met = rows.join(texts, F.col("doc_id").eqNullSafe(F.col("text_id")) & (F.col("version") == F.col("text_version")))
-    return met.select(*rows.columns, F.substring("raw", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + length).cast("int")).alias("segment"))
+    return met.select(*rows.columns, F.substring("raw", F.expr(f"cast({begin} + 1 as int)"), F.expr(f"cast({size} as int)")).alias("segment"))
 
 
-def windows(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(doc_id, version, first, last): all windows first..last of that text also start elsewhere."""
-    spark = docs.sparkSession
-    known = keep(runs(docs, length), "runs")
-    place = F.struct("doc_id", "version", "first", "last", "anchor")
-    kinds = keep(known.groupBy("key", "d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("p")), "kinds")
-    several = kinds.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("total > 1")
-    twice = kinds.where("n > 1").select("key", "d1", "d2")
-    whole = known.join(twice, ["key", "d1", "d2"]).select("doc_id", "version", "first", "last")
-    mixed_ = kinds.join(several.where("m > 1"), "key").select("key", "n", "m", "d1", "d2", "p.*")
-    some = keep(_segments(mixed_, docs, length), "segments")
-    result = "doc_id long, version long, first long, last long"
+KIND = ["key", "d1", "d2"]
+FOUND = "doc_id long, version long, first long, last long"
+
+
+def _solved(dealt: DataFrame, solve) -> DataFrame:
+    """Windows (doc_id, version, first, last) that ``solve`` finds in the segments ``dealt`` by key; a collection holds
+    whole keys."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by key; a collection holds whole keys."""
         held: list[dict] = []
         size = 0
 
-        def solve() -> pa.RecordBatch:
-            phase = np.array([(r["anchor"] - r["first"]) % BLOCK for r in held])
-            found = repeated([r["segment"] for r in held], phase, length, np.array([r["n"] == 1 for r in held]))
-            out = [(held[t], a, z) for ts, spans in found for t, (a, z) in zip(ts.tolist(), spans.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([f(r, a, z) for r, a, z in out], pa.int64()) for f in (lambda r, a, z: r["doc_id"], lambda r, a, z: r["version"], lambda r, a, z: r["first"] + a, lambda r, a, z: r["first"] + z - 1)], ["doc_id", "version", "first", "last"])
+        def out() -> pa.RecordBatch:
+            rows = [(held[t], a, z) for ts, spans in solve(held) for t, (a, z) in zip(ts.tolist(), spans.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([f(r, a, z) for r, a, z in rows], pa.int64()) for f in (lambda r, a, z: r["doc_id"], lambda r, a, z: r["version"], lambda r, a, z: r["first"] + a, lambda r, a, z: r["first"] + z - 1)], ["doc_id", "version", "first", "last"])
 
         for b in batches:
             for r in b.to_pylist():
                 if held and size > SHARD_BYTES and r["key"] != held[-1]["key"]:
-                    yield solve()
+                    yield out()
                     held, size = [], 0
+                    trim()
+                if held and all(r[c] == held[-1][c] for c in KIND):
+                    continue  # rows with equal doc_id and text gave this segment twice
                 held.append(r)
                 size += len(r["segment"])
         if len(held) > 1:
-            yield solve()
+            yield out()
+        held = []
+        trim()
+
+    parts = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(parts, "key").sortWithinPartitions(*KIND).mapInArrow(shards, FOUND)
+
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = some.where(F.col("m") <= hot).dropDuplicates(["key", "d1", "d2"]).repartition(parts, "key").sortWithinPartitions("key")
-    solved = dealt.mapInArrow(shards, result)
+def _digests(hot: DataFrame, windows_of) -> DataFrame:
+    """(doc_id, version, first, w1, w2, shared): every window of the segments of ``hot`` by its digest."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                n = len(r["segment"]) - length + 1
-                both = np.frombuffer(b"".join(xxh3_128_digest(r["segment"][k : k + length]) for k in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]] * n, pa.int64()), pa.array([r["version"]] * n, pa.int64()), pa.array(r["first"] + np.arange(n)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "version", "first", "w1", "w2"])
+                both = np.frombuffer(b"".join(map(xxh3_128_digest, windows_of(r["segment"]))), np.int64).reshape(-1, 2)
+                n = len(both)
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]] * n, pa.int64()), pa.array([r["version"]] * n, pa.int64()), pa.array(r["first"] + np.arange(n)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([r["n"] > 1] * n)], ["doc_id", "version", "first", "w1", "w2", "shared"])
 
-    each = some.where(F.col("m") > hot).mapInArrow(count, "doc_id long, version long, first long, w1 long, w2 long")
-    again = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-    hots = each.join(again, ["w1", "w2"]).select("doc_id", "version", "first", F.col("first").alias("last"))
-    return whole.unionAll(solved).unionAll(hots)
+    return hot.dropDuplicates(KIND).mapInArrow(over, "doc_id long, version long, first long, w1 long, w2 long, shared boolean")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs`` (doc_id, text); kept holds the
-    remaining bytes, which need not be whole characters."""
+def windows(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """(doc_id, version, first, last): all windows first..last of that text also start elsewhere. A kept table."""
+    known = keep(runs(docs, length), "runs")
+    # one row stands for its kind, any of them: first() takes all its columns from one row, and is aggregated by hash
+    place = [F.first(c).alias(c) for c in ("doc_id", "version", "first", "last", "anchor")]
+    kinds = keep(known.groupBy(*KIND).agg(F.count("*").alias("n"), *place), "kinds")
+    several = kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    twice = kinds.where("n > 1").select("key", "d1", "d2")
+    whole = known.join(twice, ["key", "d1", "d2"]).select("doc_id", "version", "first", "last")
+    rows = kinds.join(several, "key")
+    some = keep(_segments(rows, docs, "first", f"last - first + {length}"), "segments")
+
+    def solve(held: list[dict]):
+        phase = np.array([(r["anchor"] - r["first"]) % BLOCK for r in held])
+        return repeated([r["segment"] for r in held], phase, length, np.array([r["n"] == 1 for r in held]))
+
+    solved = _solved(some.where(F.col("m") <= hot), solve)
+    each = _digests(some.where(F.col("m") > hot), lambda s: (s[k : k + length] for k in range(len(s) - length + 1)))
+    again = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
+    hots = each.join(again, ["w1", "w2"]).select("doc_id", "version", "first", F.col("first").alias("last"))
+    out = keep(whole.unionAll(solved).unionAll(hots), "windows")
+    release(docs.sparkSession, known, kinds, some)
+    return out
+
+
+def passages(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> DataFrame:
+    """(doc_id, version, first, last): words first..last of that text are in passages of ``words`` words or more that also
+    stand in another document. A kept table."""
+    known = keep(word_runs(docs, words), "word-runs")
+    doc = F.xxhash64("doc_id", "version")
+    place = [F.first(c).alias(c) for c in ("doc_id", "version", "first", "last", "anchor", "begin", "size")]
+    kinds = keep(known.groupBy("key", "d1").agg(F.when(F.min(doc) < F.max(doc), 2).otherwise(1).alias("n"), *place), "word-kinds")
+    several = kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    whole = known.join(kinds.where("n > 1").select("key", "d1"), ["key", "d1"]).select("doc_id", "version", "first", "last")
+    rows = kinds.join(several, "key").withColumn("d2", F.lit(0).cast("long"))
+    some = keep(_segments(rows, docs, "begin", "size").drop("begin", "size"), "word-segments")
+
+    def solve(held: list[dict]):
+        codes: dict[tuple, int] = {}
+        owner = np.array([codes.setdefault((r["doc_id"], r["version"]), len(codes)) for r in held])
+        place = np.array([r["anchor"] - r["first"] for r in held])
+        return repeated_words([r["segment"] for r in held], place, owner, np.array([r["n"] > 1 for r in held]), words)
+
+    def spans(s: bytes) -> Iterator[bytes]:
+        codes, _, spelled = split_words(pa.array([s], pa.binary()).cast(pa.string()))
+        raw = hash_words(spelled)[codes].tobytes()
+        return (raw[8 * k : 8 * (k + words)] for k in range(len(codes) - words + 1))
+
+    solved = _solved(some.where(F.col("m") <= hot), solve)
+    each = _digests(some.where(F.col("m") > hot), spans)
+    again = each.groupBy("w1", "w2").agg(F.min(doc).alias("a"), F.max(doc).alias("z"), F.max("shared").alias("any")).where("any or a < z").select("w1", "w2")
+    hots = each.where("not shared").join(again, ["w1", "w2"]).select("doc_id", "version", "first", F.col("first").alias("last"))
+    found = whole.unionAll(solved).unionAll(hots).select("doc_id", "version", "first", (F.col("last") + words - 1).alias("last"))
+    out = keep(found, "passages")
+    release(docs.sparkSession, known, kinds, some)
+    return out
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words, kept) for each row of ``docs`` (doc_id, text); kept
+    holds the remaining bytes, which need not be whole characters; n_shared_words the words of the input text in passages
+    of ``words`` words or more that another document has too."""
     spark = docs.sparkSession
-    found = keep(windows(docs, length, hot), "windows")
-    spans = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one document
+    said = passages(docs, words, hot).withColumn("kind", F.lit(1))
+    found = windows(docs, length, hot).withColumns({"last": F.col("last") + length - 1, "kind": F.lit(0)})
+    spans = found.unionAll(said).groupBy("doc_id", "version").agg(F.collect_list(F.struct("kind", "first", "last")).alias("spans"))  # of one document
     spans = spans.select(F.col("doc_id").alias("span_id"), F.col("version").alias("span_version"), "spans")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
     met = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("version") == F.col("span_version")), "left").select("doc_id", "text", "spans")
 
+    def united(own: list[dict], kind: int) -> list[tuple[int, int]]:
+        """The union of the spans of a kind, as [from, to)."""
+        out: list[tuple[int, int]] = []
+        for a, z in sorted((x["first"], x["last"] + 1) for x in own if x["kind"] == kind):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(z, out[-1][1]))
+            else:
+                out.append((a, z))
+        return out
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables(batches):
             rows: list[tuple] = []
             for text, own in zip(t.column("text").to_pylist(), t.column("spans").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                gone, end, n, kept = 0, 0, 0, []
-                for a, z in sorted((x["first"], x["last"] + length) for x in own or ()):
-                    if z <= end:
-                        continue
-                    if a > end or n == 0:
-                        kept.append(raw[end:a])
-                        n += 1
-                    gone += z - max(a, end)
-                    end = z
-                kept.append(raw[end:])
-                left = b"".join(kept)
-                rows.append((len(raw), gone, n, hashlib.sha256(left).hexdigest(), left))
+                raw, own = (text or "").encode(), own or []
+                gone = united(own, 0)
+                left = b"".join(raw[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(raw)], strict=True))
+                rows.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), shared_in(raw, said, words) if (said := united(own, 1)) else 0, left))
             each = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield from pa.table([column(t, "doc_id"), *(pa.array(x, k) for x, k in zip(each, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).to_batches(max_chunksize=1024)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield from pa.table([column(t, "doc_id"), *(pa.array(x, k) for x, k in zip(each, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"]).to_batches(max_chunksize=1024)
 
-    return met.mapInArrow(over, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return met.mapInArrow(over, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, kept binary")
 
 
 def run(docs: DataFrame, length: int = LENGTH) -> DataFrame:
