@@ -75,7 +75,14 @@ def forget(spark: SparkSession, path: str) -> None:
         _kept.remove(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table that is scanned in fewer tasks than there are cores, dealt over the cores; larger ones as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Bytes of a core's share up to which a table of few files is dealt out.
+SMALL = 16 << 20
+
+
+def spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. Fewer files than cores, with little in each, are one task each or less; their rows are dealt over
+    the cores, which costs next to nothing. Any other table is read as it is."""
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    about = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p)
+    return rows.repartition(cores) if about.getFileCount() < cores and about.getLength() < cores * SMALL else rows

@@ -21,7 +21,7 @@ SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
+    return spread(spark, f"{d}/{name}.parquet")
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:

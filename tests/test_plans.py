@@ -103,6 +103,14 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
         session.shared_dir(Spark)
 
 
+def test_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    assert session.spread(spark, path).count() == 1000 and session.spread(spark, path).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SMALL", 1)
+    assert session.spread(spark, path).rdd.getNumPartitions() == 1
+
+
 def test_first_of_aggregates_keys_only(spark):
     d = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     plan = dedup.first_of(d, F.md5("text"), "doc_id")._jdf.queryExecution().executedPlan().toString()
