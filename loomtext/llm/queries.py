@@ -13,8 +13,8 @@ from . import backoff, decontamination, line_dedup, minhash, pieces, quality_rul
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "pages") else rows
+    path = f"{sf_dir}/{name}.parquet"
+    return spread(spark, path) if name in ("documents", "pages") else spark.read.parquet(path)
 
 
 def vocabulary(name: str) -> str:
