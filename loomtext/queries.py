@@ -505,7 +505,20 @@ def greedy_pack(spark, d):
     return packed.select("doc_id", F.size("p").cast("long").alias("n"), F.array_max(F.transform("p", lambda x: F.length(x))).cast("long").alias("longest"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
-@query("pack_stream")
+# a fold over the sizes of all sentences of a source: how full the chunk is, and where chunks start (2: longer, 3: blank)
+_FULL = "CASE WHEN x.size < 0 OR x.size > 400 THEN 0 WHEN a.size > 0 AND a.size + x.size > 400 THEN x.size ELSE a.size + x.size END"
+_START = "CASE WHEN x.size < 0 THEN 3 WHEN x.size > 400 THEN 2 WHEN a.size = 0 OR a.size + x.size > 400 THEN 1 ELSE 0 END"
+_STREAM = f"""WITH l AS (SELECT source, doc_id, unnest(range(0, len(a))) AS line_no, unnest(a) AS t FROM (SELECT source, doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS a FROM documents)),
+s AS (SELECT source, doc_id, line_no, {stripped('t')} AS t FROM l),
+p AS (SELECT source, doc_id, line_no, unnest(range(0, len(x))) AS piece, unnest(x) AS s FROM (SELECT *, CASE WHEN t = '' THEN [''] ELSE regexp_extract_all(t, '[^。！？；\\n]+|[。！？；\\n]+') END AS x FROM s)),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no, piece) AS k FROM p),
+f AS (SELECT source, list_reduce(list({{'size': CASE WHEN s = '' THEN -1 ELSE length(s) END, 'starts': []::int[]}} ORDER BY k), lambda a, x: {{'size': {_FULL}, 'starts': list_append(a.starts, {_START})}}, {{'size': 0::bigint, 'starts': []::int[]}}).starts AS starts FROM n GROUP BY source),
+c AS (SELECT n.*, starts[k] AS kind, sum((starts[k] > 0)::int) OVER (PARTITION BY source ORDER BY k) AS chunk FROM n JOIN f USING (source)),
+g AS (SELECT source, arg_min(doc_id, k) AS doc_id, arg_min(line_no, k) AS line_no, arg_min(piece, k) AS piece, string_agg(s, '' ORDER BY k) AS t, max(kind) AS kind FROM c GROUP BY source, chunk)
+SELECT source, doc_id, line_no::int AS line_no, piece::int AS piece, i::int AS slice, length(substr(t, i * 400 + 1, 400)) AS n, md5(substr(t, i * 400 + 1, 400)) AS digest FROM (SELECT *, unnest(range(0, CASE WHEN kind = 2 THEN (length(t) - 1) // 400 + 1 ELSE 1 END)) AS i FROM g)"""
+
+
+@query("pack_stream", _STREAM)
 def pack_stream(spark, d):
     lines = readers.granular(docs_of(spark, d), "line").select("source", F.struct("doc_id", "line_no").alias("at"), "text")
     packed = chunk.pack_stream(lines, "at", 400, "source")
