@@ -51,6 +51,8 @@ KINDS = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in ("kind",
 NAMESPACE = uuid.UUID("6f1c2a54-5a0e-4c5b-9a52-3c0d1de0a7c1")
 #: Bytes of a record's block, at most; the columns of Arrow end at 2 GB.
 LARGEST = 1 << 30
+#: Encodings that Python has and the web has not.
+_NO_CHARSETS = {"unicode_escape", "raw_unicode_escape", "punycode", "idna", "undefined"}
 #: Elements whose content is no text, and elements that end a line.
 _SILENT = set("script style noscript template head".split())
 _LINE = set("address article aside blockquote br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul".split())
@@ -158,7 +160,7 @@ def derivatives(r: dict) -> list[dict]:
     own = {x["name"].lower(): x["value"] for x in r["headers"] or ()}
     charset = next((m[1] for k, v in fields if k.lower() == "content-type" and (m := re.search(r"(?i)charset=[\"']?([\w.:-]+)", v))), "utf-8")
     try:
-        page = payload.decode(charset, "replace")
+        page = payload.decode("utf-8" if charset.lower().replace("-", "_") in _NO_CHARSETS else charset, "replace")
     except (LookupError, ValueError):
         page = payload.decode("utf-8", "replace")
     text, title, links = content(page)
