@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 from .common import column, keep, ragged, small_batches, split_words, tables
 
 #: Text of one shard in bytes; windows of one block of queries; positions in a chunk of lists.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_WINDOWS = 1 << 18
 CHUNK = 1 << 16
 #: Shards that a task holds open while it reads the blocks, and blocks that it keeps for the next shards.
-OPEN_SHARDS, OPEN_BLOCKS = 4, 4
+OPEN_SHARDS, OPEN_BLOCKS = 2, 2
 INDEX = "shard long, doc_ids binary, doc_words binary, terms binary, df binary, begins binary, postings array<binary>"
 
 
@@ -76,12 +76,15 @@ def build(docs: DataFrame) -> DataFrame:
             rank = rank[count[rank] > 0]  # words from the rarest on
             place = np.zeros(len(words), np.int64)
             place[rank] = np.arange(len(rank))
-            codes, df = place[codes], count[rank]
-            position = np.arange(len(codes)) + np.repeat(np.arange(len(n)), n)  # one is left free after each document
+            kind = np.int32 if len(codes) + len(n) < 1 << 31 else np.int64
+            codes, df = place.astype(np.int32)[codes], count[rank]
+            position = np.arange(len(codes), dtype=kind) + np.repeat(np.arange(len(n), dtype=kind), n)  # one is left free after each document
             order = np.argsort(codes, kind="stable")
             first = np.cumsum(df) - df
-            delta = np.diff(position[order], prepend=0)
-            delta[first] = position[order][first]
+            position = position[order]
+            delta = np.diff(position, prepend=kind(0))
+            delta[first] = position[first]
+            del codes, order, position
             chunk = first // CHUNK
             cuts = np.append(first[np.flatnonzero(np.diff(chunk, prepend=-1))], len(delta)).tolist()
             ids = column(t, "doc_id")
