@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,37 @@ SPACE = "▁"
 FAR = 1 << 40
 
 
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open hash table of distinct keys >= 0, an eighth full at most: keys (-1: free) and values by place."""
+    bits = max(4, (8 * len(keys)).bit_length())
+    table, held = np.full((1 << bits) + len(keys) + 1, -1, np.int64), np.full((1 << bits) + len(keys) + 1, FAR, np.int64)
+    for key, value, at in zip(keys.tolist(), values.tolist(), _slot(keys, bits).tolist(), strict=True):
+        while table[at] >= 0:
+            at += 1
+        table[at], held[at] = key, value
+    return table, held
+
+
+def _rank_of(key: np.ndarray, table: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The values of keys, FAR for keys that the table lacks."""
+    bits = len(bin(len(table))) - 3  # the table is a little longer than a power of two
+    at = _slot(key, bits)
+    found = table[at]
+    out = np.where(found == key, held[at], FAR)
+    left = np.flatnonzero((found != key) & (found >= 0))
+    while len(left):
+        at[left] += 1
+        found = table[at[left]]
+        same = found == key[left]
+        out[left[same]] = held[at[left[same]]]
+        left = left[~same & (found >= 0)]
+    return out
+
+
 class Model:
     """The vocabulary of a SentencePiece model, and what its merge order says of pairs of pieces."""
 
@@ -68,6 +100,7 @@ class Model:
         for k, i in enumerate(self.ids):
             self.chars[k, : len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
         self.length = (self.chars > 0).sum(1)
+        self.width = np.append(np.array(list(map(len, self.pieces))), 1)  # characters of each id; the last is an unknown one
         if kind == "bpe":
             self._order()
 
@@ -103,8 +136,7 @@ class Model:
                 if a is not None and b is not None:
                     keys.append(a * n + b)
                     ranks.append(self.rank[i])
-        order = np.argsort(keys)
-        self.pair, self.pair_rank = np.append(np.array(keys, np.int64)[order], FAR), np.append(np.array(ranks, np.int64)[order], FAR)
+        self.pair, self.pair_rank = _hashed(np.array(keys, np.int64), np.array(ranks, np.int64))
 
     def merge(self, text: str, stop: int = 1) -> list[int]:
         """The merge loop: the adjacent pair of the best score merges, the leftmost of equals; ``stop``: pieces to leave
@@ -145,8 +177,7 @@ class Model:
         while len(live):
             x, y = left[live], right[live]
             key = x * n + y
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            r = np.where(self.pair[at] == key, self.pair_rank[at], FAR)
+            r = _rank_of(key, self.pair, self.pair_rank)
             bad = (r < end_l[live]) & (r <= end_r[live]) & (r < FAR)
             ok[live[bad]] = False
             rx, ry = self.rank[x], self.rank[y]
@@ -253,7 +284,8 @@ class Encoder:
             start, piece, size = start[live], piece[live], size[live]
         end = start + size
         column_ = end - first[unit[start]]
-        turn = np.argsort(column_, kind="stable")
+        # numbers of 16 bits are sorted by radix
+        turn = np.argsort(column_.astype(np.uint16) if n.max(initial=0) < 1 << 16 else column_, kind="stable")
         del size, unit
         start, piece, end, column_ = start[turn], piece[turn], end[turn], column_[turn]
         steps = np.searchsorted(column_, np.arange(1, (column_[-1] if len(column_) else 0) + 2))
@@ -281,26 +313,29 @@ class Encoder:
             of.append(live)
             at[live] = back[at[live]]
             live = live[at[live] > first[live]]
-        hand = {u: self._by_hand(spelled[u]) for u in np.flatnonzero(by_hand).tolist()}
         ids_, of_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, of))
         step = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        # unknown characters become bytes
+        place = np.lexsort((-step, of_))
+        ids_, of_ = ids_[place], of_[place]
         lost = np.flatnonzero(ids_ == m.size)
-        if len(lost) or hand:
-            place = np.lexsort((-step, of_))
+        if len(lost):  # unknown characters become bytes
+            width = m.width[ids_]
+            before = np.cumsum(width) - width
+            char = text[first[of_[lost]] + before[lost] - np.repeat(*self._runs(of_, before))[lost]] - 1
+            kinds, which = np.unique(char, return_inverse=True)
+            spelled_ = [self._bytes(chr(c)) for c in kinds.tolist()]
+            many = np.ones(len(ids_), np.int64)
+            many[lost] = np.array(list(map(len, spelled_)))[which]
+            at = np.cumsum(many) - many
+            ids_, of_ = np.repeat(ids_, many), np.repeat(of_, many)
+            ids_[ragged(at[lost], many[lost])] = np.array([i for k in which.tolist() for i in spelled_[k]], np.int64)
+        hand = {u: self._by_hand(spelled[u]) for u in np.flatnonzero(by_hand).tolist()}
+        if hand:
+            ids_ = np.concatenate([ids_, np.array([i for x in hand.values() for i in x], np.int64)])
+            of_ = np.concatenate([of_, np.repeat(list(hand), [len(x) for x in hand.values()])])
+            place = np.argsort(of_, kind="stable")
             ids_, of_ = ids_[place], of_[place]
-            char = np.zeros(len(ids_), np.int64)
-            width = np.where(ids_ == m.size, 1, np.append(np.array(list(map(len, m.pieces))), 1)[ids_])
-            char = first[of_] + (np.cumsum(width) - width) - np.repeat(*self._runs(of_, np.cumsum(width) - width))
-            each = [self._bytes(chr(int(text[c]) - 1)) if i == m.size else [int(i)] for i, c in zip(ids_.tolist(), char.tolist(), strict=True)] if len(lost) else [[i] for i in ids_.tolist()]
-            per: list[list[int]] = [[] for _ in units]
-            for u, x in zip(of_.tolist(), each, strict=True):
-                per[u] += x
-            for u, x in hand.items():
-                per[u] = x
-            return np.fromiter((i for x in per for i in x), np.int64), np.fromiter(map(len, per), np.int64, len(per))
-        place = np.lexsort((-step, of_))
-        return ids_[place], np.bincount(of_, minlength=len(n))
+        return ids_, np.bincount(of_, minlength=len(n))
 
     @staticmethod
     def _runs(of: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -409,33 +444,53 @@ class Encoder:
         self.n, self.flat = np.concatenate([self.n, n.astype(np.int32)]), np.concatenate([self.flat, ids.astype(np.int32)])
         self.place.update(zip(units, range(first, first + len(units)), strict=True))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and their number for each."""
-        if len(self.place) > CACHE_UNITS:
-            self._clear()
-        units, count, new = [], [], {}
-        for t in texts:
-            t = t or ""
+    def _units(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct units, the number of each unit of the texts among them, and units per text."""
+        fast = np.zeros(len(texts), bool)
+        units: list[str] = []
+        codes, count = np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        if self.model.plain and self.model.split_at_space:
+            # where each word has one space before it and no other stands, the words are the units
+            said = pa.array([(t or "").replace(SPACE, " ") for t in texts], pa.string())
+            odd = pc.or_(pc.match_substring(said, "  "), pc.or_(pc.starts_with(said, " "), pc.ends_with(said, " ")))
+            fast = ~odd.to_numpy(zero_copy_only=False) & pc.not_equal(said, "").to_numpy(zero_copy_only=False)
+            lists = pc.split_pattern(said.filter(pa.array(fast)), " ")
+            coded = lists.flatten().dictionary_encode()
+            units = [f" {w}" for w in coded.dictionary.to_pylist()]
+            codes, count[fast] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(lists).to_numpy()
+        numbers: dict[str, int] = {}
+        slow: list[int] = []
+        for k in np.flatnonzero(~fast).tolist():
+            t = texts[k] or ""
             if not self.model.plain:
                 t = self.model.library.normalize(t).replace(SPACE, " ")
             elif t:
                 t = " " + t.replace(SPACE, " ")
             own = self.cut.findall(t)
-            count.append(len(own))
-            for u in own:
-                if u not in self.place:
-                    new[u] = None
-            units += own
-        if new:
-            part, size = [], 0
-            for u in new:
+            count[k] = len(own)
+            slow += [numbers.setdefault(u, len(units) + len(numbers)) for u in own]
+        out = np.zeros(int(count.sum()), np.int64)
+        first = np.cumsum(count) - count
+        out[ragged(first[fast], count[fast])] = codes
+        out[ragged(first[~fast], count[~fast])] = slow
+        return units + list(numbers), out, count
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and their number for each."""
+        if len(self.place) > CACHE_UNITS:
+            self._clear()
+        units, codes, count = self._units(texts)
+        part, size = [], 0
+        for u in dict.fromkeys(units):
+            if u not in self.place:
                 if part and size + len(u) > BATCH_CHARS:
                     self._learn(part)
                     part, size = [], 0
                 part.append(u)
                 size += len(u) + 1
+        if part:
             self._learn(part)
-        place = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        place = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))[codes]
         n = self.n[place].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(n)])
         return self.flat[ragged(self.at[place], n)], np.diff(before[np.concatenate([[0], np.cumsum(count, dtype=np.int64)])])
