@@ -43,6 +43,8 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from .common import column, hash_words, keep, mixed, odd_numbers, ragged, release, small_batches, split_words, tables, trim
 
 LENGTH, GRAM, BLOCK = 400, 64, 16
+#: A span is where it begins times this, plus how much further it goes.
+SPAN = 1 << 20
 #: Words of a passage, and of an anchor in it.
 WORDS, WORD_GRAM = 51, 8
 #: Different segments of an anchor that one task takes; bytes of segments in one collection; entries read at a time.
@@ -549,32 +551,37 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, words: int = WO
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words, kept) for each row of ``docs`` (doc_id, text); kept
     holds the remaining bytes, which need not be whole characters; n_shared_words the words of the input text in passages
     of ``words`` words or more that another document has too."""
-    spark = docs.sparkSession
-    said = passages(docs, words, hot).withColumn("kind", F.lit(1))
-    found = windows(docs, length, hot).withColumns({"last": F.col("last") + length - 1, "kind": F.lit(0)})
-    spans = found.unionAll(said).groupBy("doc_id", "version").agg(F.collect_list(F.struct("kind", "first", "last")).alias("spans"))  # of one document
+    if max(length, words) > SPAN // 4:
+        raise ValueError(f"windows of more than {SPAN // 4}")
+    # a span is one number: its kind, where it begins, and how much further it goes
+    number = lambda kind, more: (F.lit(kind << 62) + F.col("first") * SPAN + F.col("last") - F.col("first") + more).alias("span")
+    said = passages(docs, words, hot).select("doc_id", "version", number(1, 0))
+    found = windows(docs, length, hot).select("doc_id", "version", number(0, length - 1))
+    spans = found.unionAll(said).groupBy("doc_id", "version").agg(F.collect_list("span").alias("spans"))  # of one document
     spans = spans.select(F.col("doc_id").alias("span_id"), F.col("version").alias("span_version"), "spans")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
     met = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("version") == F.col("span_version")), "left").select("doc_id", "text", "spans")
 
-    def united(own: list[dict], kind: int) -> list[tuple[int, int]]:
-        """The union of the spans of a kind, as [from, to)."""
-        out: list[tuple[int, int]] = []
-        for a, z in sorted((x["first"], x["last"] + 1) for x in own if x["kind"] == kind):
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], max(z, out[-1][1]))
-            else:
-                out.append((a, z))
-        return out
+    def united(spans: np.ndarray) -> list[tuple[int, int]]:
+        """The union of ascending spans, as [from, to)."""
+        if not len(spans):
+            return []
+        first, end = spans // SPAN, spans // SPAN + spans % SPAN + 1
+        top = np.maximum.accumulate(end)
+        opens = np.flatnonzero(np.append(True, first[1:] > top[:-1]))
+        return list(zip(first[opens].tolist(), top[np.append(opens[1:], len(spans)) - 1].tolist(), strict=True))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables(batches):
+            lists = column(t, "spans")
+            every, edges = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
             rows: list[tuple] = []
-            for text, own in zip(t.column("text").to_pylist(), t.column("spans").to_pylist(), strict=True):
-                raw, own = (text or "").encode(), own or []
-                gone = united(own, 0)
+            for k, text in enumerate(t.column("text").to_pylist()):
+                raw, own = (text or "").encode(), np.sort(every[edges[k] : edges[k + 1]])
+                kind = np.searchsorted(own, 1 << 62)
+                gone, said = united(own[:kind]), united(own[kind:] - (1 << 62))
                 left = b"".join(raw[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(raw)], strict=True))
-                rows.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), shared_in(raw, said, words) if (said := united(own, 1)) else 0, left))
+                rows.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), shared_in(raw, said, words) if said else 0, left))
             each = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
             yield from pa.table([column(t, "doc_id"), *(pa.array(x, k) for x, k in zip(each, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"]).to_batches(max_chunksize=1024)
