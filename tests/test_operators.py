@@ -247,6 +247,38 @@ def test_tokenizer(spark):
     assert all(r.x == r.text for r in got)
 
 
+def test_bpe_training_leaves_the_texts_to_the_executors(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(2, 9))) for _ in range(60)]
+    texts = [" ".join(rnd.choice(words) for _ in range(120)) + "aaaa中，<|im_start|>" for _ in range(20)]
+    d = docs(spark, [*texts, None, ""])
+    want = bpe_restated(tokenizer_words(texts), 340)
+    held, merged = [], tokenizer._merges
+    monkeypatch.setattr(tokenizer, "_merges", lambda w, *more: held.append(sum(map(len, w))) or merged(w, *more))
+    assert tokenizer.train(d, 340).merges == want
+    assert held and max(held) < sum(map(len, texts)) / 2
+    monkeypatch.setattr(tokenizer, "PIECES", 0)
+    assert tokenizer.train(d, 272).merges == want[:3]
+
+
+def tokenizer_words(texts):
+    counts = {}
+    for t in texts:
+        for w in tokenizer._WORD.findall(t):
+            counts[w] = counts.get(w, 0) + 1
+    return counts
+
+
+def test_bpe_encodes_many_texts_at_once_alike():
+    rnd = random.Random(6)
+    some = ["a", "a", "b", " ", "é", "中", "，", "<|im_start|>", "<|", "\0", "\n", "😀"]
+    for _ in range(20):
+        texts = ["".join(rnd.choice(some) for _ in range(rnd.randrange(60))) for _ in range(9)] + ["", "a" * 37]
+        t = tokenizer.train_on(tokenizer_words(texts), 320)
+        for marks in (False, True):
+            assert [x.tolist() for x in t.encode_arrays(texts, marks, marks, rnd.choice([1, 50, 10**6]))] == [t.encode(x, marks, marks) for x in texts]
+
+
 def test_sft_and_dpo(spark):
     d = spark.createDataFrame([([1, 2, 3], [1, 2, 3, 4, 5]), ([1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6, 7, 8])], "p array<int>, f array<int>")
     got = [r[0] for r in d.select(tuning.sft_item(F.col("p"), F.col("f"), 6)).collect()]
